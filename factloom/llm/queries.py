@@ -4,11 +4,26 @@ from __future__ import annotations
 
 from .common import read
 from .ngram_jaccard import ngram_jaccard_classes
+from .packing import best_fit_packing
+from .substring_dedup import substring_dedup
+from .tokens import token_histogram
 
 
 def op1_ngram_jaccard(spark, sf_dir):
     return ngram_jaccard_classes(spark, read(spark, sf_dir, "documents"), k=5, percent=80)
 
 
-QUERIES = {"op1_ngram_jaccard": op1_ngram_jaccard}
+def op3_best_fit_packing(spark, sf_dir):
+    return best_fit_packing(spark, read(spark, sf_dir, "documents"), capacity=4096, end=1)
+
+
+def op5_token_counts(spark, sf_dir):
+    return token_histogram(spark, read(spark, sf_dir, "documents"))
+
+
+def op9_substring_dedup(spark, sf_dir):
+    return substring_dedup(spark, read(spark, sf_dir, "documents"), width=13).drop("kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op3_best_fit_packing, op5_token_counts, op9_substring_dedup)}
 ORACLES: dict[str, str] = {}
