@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .common import read
+from .mixing import mix_sources
 from .ngram_jaccard import ngram_jaccard_classes
 from .packing import best_fit_packing
 from .substring_dedup import substring_dedup
@@ -21,9 +22,13 @@ def op5_token_counts(spark, sf_dir):
     return token_histogram(spark, read(spark, sf_dir, "documents"))
 
 
+def op7_mix_sources(spark, sf_dir):
+    return mix_sources(spark, read(spark, sf_dir, "documents"), weights=(3, 1, 2), budget=1.5, most=2)
+
+
 def op9_substring_dedup(spark, sf_dir):
     return substring_dedup(spark, read(spark, sf_dir, "documents"), width=13).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op3_best_fit_packing, op5_token_counts, op9_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op3_best_fit_packing, op5_token_counts, op7_mix_sources, op9_substring_dedup)}
 ORACLES: dict[str, str] = {}
