@@ -30,6 +30,8 @@ from .common import U64, Scratch, WordHash, bucket_of, components, joined, local
 
 #: Shingles counted as frequent at most; they only settle the global order, so the bound cannot change results.
 FREQUENT = 100_000
+#: Shingles of documents counted together; those that occur in two documents there are added up over all.
+COUNTED = 4_000_000
 #: Longest index list whose pairs are listed; longer ones go by a representative.
 SHORT_LIST = 32
 #: Sets and shingles in one block of sets that are compared with each other.
@@ -63,16 +65,22 @@ def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
     """Shingles that many documents hold, the most frequent ones last; all documents are counted."""
 
     def count(batches):
-        words = WordHash()
+        words, held, size = WordHash(), [], 0
         for _, texts in texts_in_parts(batches):
-            sets = [s for s in shingle_sets(texts, words, k) if len(s)]
-            if sets:
-                found, n = np.unique(np.concatenate(sets), return_counts=True)
-                keep = n >= 3
-                yield pa.RecordBatch.from_pydict({"shingle": found[keep].view(np.int64), "n": n[keep]})
+            held += [s for s in shingle_sets(texts, words, k) if len(s)]
+            size += sum(map(len, held[-len(texts) :]))
+            if size >= COUNTED:
+                yield repeated(held)
+                held, size = [], 0
+        if held:
+            yield repeated(held)
+
+    def repeated(sets):
+        found, n = np.unique(np.concatenate(sets), return_counts=True)
+        return pa.RecordBatch.from_pydict({"shingle": found[n >= 2].view(np.int64), "n": n[n >= 2]})
 
     rows = docs.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    rows = rows.filter("n >= 10").orderBy(F.desc("n"), "shingle").limit(FREQUENT).toPandas()
+    rows = rows.filter("n >= 6").orderBy(F.desc("n"), "shingle").limit(FREQUENT).toPandas()
     rows = rows.sort_values(["n", "shingle"])
     return rows["shingle"].to_numpy(np.int64).view(U64)
 
