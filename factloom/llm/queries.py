@@ -6,6 +6,7 @@ from .common import read
 from .mixing import mix_sources
 from .ngram_jaccard import ngram_jaccard_classes
 from .packing import best_fit_packing
+from .quality import quality_model, rate_documents
 from .substring_dedup import substring_dedup
 from .tokens import token_histogram
 
@@ -26,9 +27,14 @@ def op7_mix_sources(spark, sf_dir):
     return mix_sources(spark, read(spark, sf_dir, "documents"), weights=(3, 1, 2), budget=1.5, most=2)
 
 
+def op8_quality_classifier(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return rate_documents(docs.select("doc_id", "text"), quality_model(spark, docs, sf_dir), enough=2, least=0.4).drop("text")
+
+
 def op9_substring_dedup(spark, sf_dir):
-    return substring_dedup(spark, read(spark, sf_dir, "documents"), width=13).drop("kept")
+    return substring_dedup(spark, read(spark, sf_dir, "documents"), width=13, text=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op3_best_fit_packing, op5_token_counts, op7_mix_sources, op9_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op3_best_fit_packing, op5_token_counts, op7_mix_sources, op8_quality_classifier, op9_substring_dedup)}
 ORACLES: dict[str, str] = {}

@@ -115,14 +115,14 @@ def merge_run(run: int):
 
 
 def chunk_windows(table: pa.Table, words: WordHash, width: int):
-    """The chunk's documents by id: id, words, whether it is of the new batch, and each window's hash, second hash and fingerprint."""
+    """The chunk's documents by id: row, id, words, whether it is of the new batch, and each window's hash, second hash and fingerprint."""
     docs = table.column("doc_id").to_numpy()
     texts, fresh = byte_texts(table.column("text")), table.column("fresh").to_pylist()
     for i in np.argsort(docs, kind="stable").tolist():
         found = (texts[i] or b"").split()
         hashes = words.of(found)
         short, place = chosen(hashes, width)
-        yield int(docs[i]), found, fresh[i], windows(hashes, width, seed=1), windows(hashes, width, seed=2).astype(np.uint32), short[place]
+        yield i, int(docs[i]), found, fresh[i], windows(hashes, width, seed=1), windows(hashes, width, seed=2).astype(np.uint32), short[place]
 
 
 def propose(width: int, buckets: int):
@@ -132,7 +132,7 @@ def propose(width: int, buckets: int):
         flagged = np.unique(joined(right.column("hashes"), U64))
         words, hashes, seconds, docs = WordHash(), [np.zeros(0, U64)], [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         if len(flagged):
-            for doc, _, _, window, second, short in chunk_windows(left, words, width):
+            for _, doc, _, _, window, second, short in chunk_windows(left, words, width):
                 held = flagged[np.minimum(np.searchsorted(flagged, short), len(flagged) - 1)] == short
                 hashes.append(window[held])
                 seconds.append(second[held])
@@ -160,17 +160,17 @@ def seconds_key(hashes: np.ndarray, seconds: np.ndarray) -> np.ndarray:
         return mix(hashes + seconds.astype(U64) * U64(0x9E3779B97F4A7C15))
 
 
-def strip(width: int):
-    """For one chunk: each document with what is left of its text."""
+def strip(width: int, carry: tuple[str, ...] = (), text: bool = True):
+    """For one chunk: each document with what is left of its text, and the columns that it carries."""
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         late = np.unique(seconds_key(joined(right.column("hashes"), U64), joined(right.column("seconds"), np.uint32)))
         words = WordHash()
         docs = list(chunk_windows(left, words, width))
-        keys = [seconds_key(window, second) for _, _, _, window, second, _ in docs]
-        first, holder = first_of(np.concatenate(keys), np.repeat(np.array([d[0] for d in docs]), [len(k) for k in keys])) if docs else (np.zeros(0, U64), np.zeros(0, np.int64))
+        keys = [seconds_key(window, second) for _, _, _, _, window, second, _ in docs]
+        first, holder = first_of(np.concatenate(keys), np.repeat(np.array([d[1] for d in docs]), [len(k) for k in keys])) if docs else (np.zeros(0, U64), np.zeros(0, np.int64))
         out = []
-        for (doc, found, fresh, _, _, _), key in zip(docs, keys, strict=True):
+        for (row, doc, found, fresh, _, _, _), key in zip(docs, keys, strict=True):
             if not fresh:
                 continue
             gone = holder[np.searchsorted(first, key)] < doc
@@ -181,9 +181,15 @@ def strip(width: int):
             np.add.at(removed, np.flatnonzero(gone) + width, -1)
             drop = np.cumsum(removed)[:-1] > 0
             kept = b" ".join(w for w, x in zip(found, drop.tolist(), strict=True) if not x) if drop.any() else b" ".join(found)
-            out.append((doc, len(found), int(drop.sum()), kept, hashlib.sha256(kept).hexdigest()))
-        doc, n, m, kept, digest = zip(*out, strict=True) if out else ((),) * 5
-        return pa.table({"doc_id": pa.array(doc, pa.int64()), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(m, pa.int64()), "kept": pa.array(kept, pa.binary()).cast(pa.string()), "kept_sha256": pa.array(digest, pa.string())})
+            out.append((row, doc, len(found), int(drop.sum()), kept, hashlib.sha256(kept).hexdigest()))
+        row, doc, n, m, kept, digest = zip(*out, strict=True) if out else ((),) * 6
+        table = pa.table({"doc_id": pa.array(doc, pa.int64()), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(m, pa.int64()), "kept_sha256": pa.array(digest, pa.string())})
+        if text:
+            whole = left.column("text").take(pa.array(row, pa.int64())).to_pylist()
+            table = table.append_column("kept", pa.array([k if x else w for k, x, w in zip(pa.array(kept, pa.binary()).cast(pa.string()).to_pylist(), m, whole, strict=True)], pa.string()))
+        for c in carry:
+            table = table.append_column(c, left.column(f"own_{c}").take(pa.array(row, pa.int64())))
+        return table
 
     return cut
 
@@ -224,21 +230,24 @@ class FingerprintIndex:
         self.made += 1
 
 
-def substring_dedup(spark: SparkSession, docs: DataFrame, width: int = 13, history: DataFrame | None = None, index: FingerprintIndex | None = None) -> DataFrame:
+def substring_dedup(spark: SparkSession, docs: DataFrame, width: int = 13, history: DataFrame | None = None, index: FingerprintIndex | None = None, carry: tuple[str, ...] = (), text: bool = True) -> DataFrame:
     """Remove words covered by windows of ``width`` words that also start in a document with a smaller id.
 
-    Rows (doc_id, n_words, n_removed, kept, kept_sha256) for each of docs with a doc_id. kept is what is
-    left, its words joined by one space; a null or empty text counts as no words. history holds the
+    Rows (doc_id, n_words, n_removed, kept_sha256, kept) for each of docs with a doc_id. kept_sha256 is of the
+    kept words joined by one space; kept is that, or the text itself if it loses nothing (left out if not
+    ``text``). A null or empty text counts as no words. history holds the
     documents that index has taken in before, with smaller ids. Windows are judged on the input. Rows
-    that repeat a doc_id do not count against each other. Other columns are not looked at.
+    that repeat a doc_id do not count against each other. Columns named in carry are returned too; others
+    are not looked at.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    kinds = [f", {c} {docs.schema[c].dataType.simpleString()}" for c in carry]
+    docs = docs.select(F.col("doc_id").cast("long"), "text", *[F.col(c).alias(f"own_{c}") for c in carry])
     index = index or FingerprintIndex(spark, Scratch(spark, "substring-dedup"), width)
     shared = index.add(docs.filter("doc_id IS NOT NULL"))
     known = docs.withColumn("fresh", F.lit(True))
     if history is not None:
-        known = known.union(history.select(F.col("doc_id").cast("long"), "text", F.lit(False)))
+        known = known.unionByName(history.select(F.col("doc_id").cast("long"), "text", F.lit(False).alias("fresh")), allowMissingColumns=True)
     known = with_chunk(known).groupBy("chunk")
     proposed = known.cogroup(shared.groupBy("chunk")).applyInArrow(propose(width, index.buckets), "bucket int, hashes binary, seconds binary, docs binary")
     late = proposed.groupBy("bucket").applyInArrow(settle, "chunk long, hashes binary, seconds binary")
-    return known.cogroup(late.groupBy("chunk")).applyInArrow(strip(width), "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")
+    return known.cogroup(late.groupBy("chunk")).applyInArrow(strip(width, carry, text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * text + "".join(kinds))
