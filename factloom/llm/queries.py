@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .common import read
+from .fingerprints import document_fingerprints
 from .mixing import mix_sources
 from .ngram_jaccard import ngram_jaccard_classes
 from .packing import best_fit_packing
@@ -36,5 +37,9 @@ def op9_substring_dedup(spark, sf_dir):
     return substring_dedup(spark, read(spark, sf_dir, "documents"), width=13, text=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op3_best_fit_packing, op5_token_counts, op7_mix_sources, op8_quality_classifier, op9_substring_dedup)}
+def op10_document_fingerprints(spark, sf_dir):
+    return document_fingerprints(spark, read(spark, sf_dir, "documents"), samples=32)
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op3_best_fit_packing, op5_token_counts, op7_mix_sources, op8_quality_classifier, op9_substring_dedup, op10_document_fingerprints)}
 ORACLES: dict[str, str] = {}
