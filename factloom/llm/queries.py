@@ -2,28 +2,66 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from .common import read
+from .embedding_dedup import embedding_near_duplicates
 from .fingerprints import document_fingerprints
+from .language_id import identify_languages
 from .mixing import mix_sources
 from .ngram_jaccard import ngram_jaccard_classes
 from .packing import best_fit_packing
 from .quality import quality_model, rate_documents
 from .substring_dedup import substring_dedup
 from .tokens import token_histogram
+from .url_filters import host_of, temporal_list_join
 
 
 def op1_ngram_jaccard(spark, sf_dir):
     return ngram_jaccard_classes(spark, read(spark, sf_dir, "documents"), k=5, percent=80)
 
 
+def op2_language_id(spark, sf_dir):
+    return identify_languages(spark, read(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark, sf_dir):
     return best_fit_packing(spark, read(spark, sf_dir, "documents"), capacity=4096, end=1)
 
 
+def op4_url_filters(spark, sf_dir):
+    """Every page as a capture, fetched on a day of 2024 that its number tells, against a list drawn up over all hosts of pages.
+
+    The list: each host by a byte x of its hash. If x mod 3 is 0, the host is added on day x mod 200,
+    removed 60 days later if x is even, and added again after another 60 if x mod 5 is 0. If x mod 4 is 1,
+    its path /en is added on day 60. Hosts of the form a.b.net also list b.net from day 150 to day 180."""
+    pages = read(spark, sf_dir, "pages")
+    day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n.cast("int"))
+    captures = pages.select(F.col("page_id").alias("capture_id"), "url", day(F.col("page_id") * 37 % 366).alias("fetched_at"))
+    hosts = pages.select(host_of(F.col("url")).alias("h")).filter("h IS NOT NULL").distinct()
+    hosts = hosts.withColumn("x", F.conv(F.substring(F.md5("h"), 1, 2), 16, 10).cast("int"))
+    x, base = F.col("x"), F.regexp_extract("h", r"([^.]+\.net)$", 1)
+    entry = lambda when, kind, pattern, action, n: F.when(when, F.struct(F.lit(kind).alias("kind"), pattern.alias("pattern"), F.lit(action).alias("action"), day(n).alias("dated")))
+    listed = F.array(
+        entry(x % 3 == 0, "domain", F.col("h"), "add", x % 200),
+        entry((x % 3 == 0) & (x % 2 == 0), "domain", F.col("h"), "remove", x % 200 + 60),
+        entry((x % 3 == 0) & (x % 2 == 0) & (x % 5 == 0), "domain", F.col("h"), "add", x % 200 + 120),
+        entry(x % 4 == 1, "url", F.concat("h", F.lit("/en")), "add", F.lit(60)),
+        entry(base != "", "domain", base, "add", F.lit(150)),
+        entry(base != "", "domain", base, "remove", F.lit(180)),
+    )
+    entries = hosts.select(F.explode(F.array_compact(listed)).alias("e")).select("e.*").distinct()
+    return temporal_list_join(captures, entries).withColumnRenamed("capture_id", "page_id")
+
+
 def op5_token_counts(spark, sf_dir):
     return token_histogram(spark, read(spark, sf_dir, "documents"))
 
 
+def op6_embedding_dedup(spark, sf_dir):
+    return embedding_near_duplicates(spark, read(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op7_mix_sources(spark, sf_dir):
     return mix_sources(spark, read(spark, sf_dir, "documents"), weights=(3, 1, 2), budget=1.5, most=2)
 
@@ -41,5 +79,39 @@ def op10_document_fingerprints(spark, sf_dir):
     return document_fingerprints(spark, read(spark, sf_dir, "documents"), samples=32)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op3_best_fit_packing, op5_token_counts, op7_mix_sources, op8_quality_classifier, op9_substring_dedup, op10_document_fingerprints)}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard, op2_language_id, op3_best_fit_packing, op4_url_filters, op5_token_counts, op6_embedding_dedup,
+        op7_mix_sources, op8_quality_classifier, op9_substring_dedup, op10_document_fingerprints,
+    )
+}
+ORACLES: dict[str, str] = {
+    "op4_url_filters": r"""
+WITH captures AS (
+  SELECT DISTINCT page_id, url, DATE '2024-01-01' + CAST(page_id * 37 % 366 AS INT) AS fetched_at,
+         nullif(rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '.'), '') AS host,
+         regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages),
+hosts AS (
+  SELECT host AS h, CAST('0x' || substr(md5(host), 1, 2) AS INT) AS x, regexp_extract(host, '([^.]+\.net)$', 1) AS base
+  FROM captures WHERE host IS NOT NULL GROUP BY host),
+entries AS (
+  SELECT 'domain' AS kind, h AS pattern, true AS adds, x % 200 AS n FROM hosts WHERE x % 3 = 0
+  UNION SELECT 'domain', h, false, x % 200 + 60 FROM hosts WHERE x % 3 = 0 AND x % 2 = 0
+  UNION SELECT 'domain', h, true, x % 200 + 120 FROM hosts WHERE x % 3 = 0 AND x % 2 = 0 AND x % 5 = 0
+  UNION SELECT 'url', h || '/en', true, 60 FROM hosts WHERE x % 4 = 1
+  UNION SELECT 'domain', base, true, 150 FROM hosts WHERE base <> ''
+  UNION SELECT 'domain', base, false, 180 FROM hosts WHERE base <> ''),
+dated AS (SELECT kind, pattern, DATE '2024-01-01' + CAST(n AS INT) AS dated, bool_or(adds) AS adds FROM entries GROUP BY ALL),
+changes AS (SELECT * FROM (SELECT *, lag(adds) OVER (PARTITION BY kind, pattern ORDER BY dated) AS before FROM dated) WHERE before IS NULL OR before <> adds),
+valid AS (SELECT * FROM (SELECT *, lead(dated) OVER (PARTITION BY kind, pattern ORDER BY dated) AS valid_to FROM changes) WHERE adds),
+hits AS (
+  SELECT c.page_id, c.url, v.pattern, v.dated FROM captures c JOIN valid v
+  ON c.fetched_at >= v.dated AND (v.valid_to IS NULL OR c.fetched_at < v.valid_to)
+  AND (CASE WHEN v.kind = 'domain' THEN c.host = v.pattern OR ends_with(c.host, '.' || v.pattern)
+       ELSE starts_with(c.host || c.path || '/', v.pattern || '/') END))
+SELECT c.page_id, c.host, count(h.pattern) AS n_active, count(h.pattern) > 0 AS blocked
+FROM captures c LEFT JOIN hits h ON c.page_id = h.page_id AND c.url = h.url GROUP BY c.page_id, c.url, c.fetched_at, c.host
+""",
+}
