@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .fixed import NAMESPACES
 
@@ -83,13 +84,13 @@ def normalize_title(title: Column) -> Column:
     return F.when(F.contains(bare, F.lit(":")), F.concat(F.initcap(F.lower(space)), F.lit(":"), first(rest))).otherwise(first(bare))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkd(text: pd.Series) -> pd.Series:
     """Compatibility decomposition; Spark has no built-in for it."""
     return text.map(lambda s: None if s is None else unicodedata.normalize("NFKD", s))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def ascii_fold(text: pd.Series) -> pd.Series:
     """Letters without their marks, as a fold key for titles."""
     return text.map(lambda s: None if s is None else "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)).encode("ascii", "ignore").decode())

@@ -12,6 +12,7 @@ from collections import deque
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factloom.functions.fixed import ENTITY_PREFIX, NUMERIC_PREFIX, OBJECT_TAG, PHRASE_RELATIONS, ROOT_TAG, SUBJECT_TAG
 from factloom.functions.wording import English, Locale, is_numeric
@@ -87,13 +88,13 @@ def paths_from(edges: list, root) -> dict:
     return paths
 
 
-@F.pandas_udf("array<struct<node:int,path:array<int>>>")
+@F.pandas_udf(T.ArrayType(T.StructType().add("node", T.IntegerType()).add("path", T.ArrayType(T.IntegerType()))))
 def root_paths(edges: pd.Series) -> pd.Series:
     """Shortest paths from the root of each sentence; nodes without one are left out."""
     return edges.map(lambda es: None if es is None else [{"node": n, "path": p} for n, p in sorted(paths_from(list(es), 0).items())])
 
 
-@F.pandas_udf("array<struct<side:string,step:int,label:string,name:string>>")
+@F.pandas_udf(T.ArrayType(T.StructType().add("side", T.StringType()).add("step", T.IntegerType()).add("label", T.StringType()).add("name", T.StringType())))
 def pattern_paths(edges: pd.Series) -> pd.Series:
     """For a pattern's edges (tail, head, label by name): the labelled paths from its root to subject and object; null if one is missing."""
 
