@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.functions.fixed import ENTITY_PREFIX, NUMERIC_PREFIX, OBJECT_TAG, PHRASE_RELATIONS, ROOT_TAG, SUBJECT_TAG
-from factloom.functions.wording import English, Locale, is_numeric
+from factloom.functions.wording import English, is_numeric
 
 EDGE = "array<struct<tail:int,head:int,label:string>>"
 TOKEN = "array<struct<idx:int,word:string,start:int,end:int>>"
@@ -51,16 +51,17 @@ def valid_annotations(rows: DataFrame) -> DataFrame:
 
 
 def pseudo_parse(sentences: DataFrame) -> DataFrame:
-    """A stand-in for a parser: each token hangs off the one before it; labels are num, nn (title case) or dep.
+    """A stand-in for a parser: token i hangs off token i // 2, so the tree is shallow; labels are num, nn (title case) or dep.
 
     It lets the operators run where no parser is at hand; real annotations enter as a table."""
     words = F.filter(F.split("sentence", " "), lambda w: w != "")
     rows = sentences.select("sentence_id", F.array_join(words, " ").alias("text"), words.alias("w"))
-    ends = F.aggregate("w", F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("starts")), lambda acc, w: F.struct((acc["at"] + F.length(w) + 1).cast("int").alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts")), lambda acc: acc["starts"])
-    rows = rows.withColumn("s", ends)
-    tokens = F.transform("w", lambda w, i: F.struct((i + 1).cast("int").alias("idx"), w.alias("word"), F.get(F.col("s"), i).alias("start"), (F.get(F.col("s"), i) + F.length(w)).cast("int").alias("end")))
+    # one fold makes the tokens; a lambda that looked into another computed array could evaluate it for each element
+    none = F.expr(f"cast(array() as {TOKEN})")
+    token = lambda acc, w: F.struct((F.size(acc["out"]) + 1).alias("idx"), w.alias("word"), acc["at"].alias("start"), (acc["at"] + F.length(w)).alias("end"))
+    tokens = F.aggregate("w", F.struct(F.lit(0).alias("at"), none.alias("out")), lambda acc, w: F.struct((acc["at"] + F.length(w) + 1).alias("at"), F.concat(acc["out"], F.array(token(acc, w))).alias("out")), lambda acc: acc["out"])
     label = lambda w: F.when(is_numeric(w), "num").when(English().part_of_proper_noun(w) & w.rlike(r"\p{L}"), "nn").otherwise("dep")
-    edges = F.transform("w", lambda w, i: F.struct(i.cast("int").alias("tail"), (i + 1).cast("int").alias("head"), label(w).alias("label")))
+    edges = F.transform("w", lambda w, i: F.struct(F.shiftright(i + 1, 1).cast("int").alias("tail"), (i + 1).cast("int").alias("head"), label(w).alias("label")))
     return valid_annotations(rows.select("sentence_id", "text", tokens.alias("tokens"), edges.alias("edges")))
 
 
@@ -137,37 +138,71 @@ def span_of(text: Column, tokens: Column, edges: Column, node: Column) -> Column
     return F.struct(nested.alias("nested"), F.when(nested, word_at(tokens, node)).otherwise(text.substr(start + 1, end - start)).alias("wording"))
 
 
+@F.pandas_udf(T.ArrayType(T.StructType().add("node", T.IntegerType()).add("word", T.StringType()).add("nested", T.BooleanType()).add("wording", T.StringType())))
+def phrases(text: pd.Series, tokens: pd.Series, edges: pd.Series) -> pd.Series:
+    """``span_of`` for every token, in one pass over the sentence."""
+
+    def spans(sentence, words, es):
+        if sentence is None or words is None or es is None:
+            return None
+        first = {t["idx"]: t["idx"] for t in words}
+        last, nested = dict(first), set()
+        for e in es:
+            if e["label"] in PHRASE_RELATIONS:
+                if e["tail"] != 0:
+                    nested.add(e["head"])
+                if e["tail"] in first:
+                    first[e["tail"]], last[e["tail"]] = min(first[e["tail"]], e["head"]), max(last[e["tail"]], e["head"])
+        at = {t["idx"]: t for t in words}
+        cut = lambda n: sentence[at[first[n]]["start"] : at[last[n]]["end"]]
+        return [{"node": n, "word": t["word"], "nested": n in nested, "wording": t["word"] if n in nested else cut(n)} for n, t in at.items()]
+
+    return pd.Series([spans(*row) for row in zip(text, tokens, edges, strict=True)])
+
+
 def associated_wordings(annotations: DataFrame) -> DataFrame:
-    """Rows (sentence_id, node, word, nested, wording) for every token."""
-    rows = annotations.select("sentence_id", "text", "tokens", "edges", F.explode("tokens").alias("t"))
-    spans = span_of(F.col("text"), F.col("tokens"), F.col("edges"), F.col("t.idx"))
-    return rows.select("sentence_id", F.col("t.idx").alias("node"), F.col("t.word").alias("word"), spans.alias("s")).select("sentence_id", "node", "word", "s.nested", "s.wording")
+    """Rows (sentence_id, node, word, nested, wording) for every token, and article if annotations have it."""
+    keys = [c for c in ("sentence_id", "article") if c in annotations.columns]
+    return annotations.select(*keys, phrases("text", "tokens", "edges").alias("s")).select(*keys, F.inline("s"))
 
 
 def wording_hits(annotations: DataFrame, wordings: DataFrame, keep: list[str]) -> DataFrame:
     """First node of each sentence whose phrase is the wording: wordings(article, wording, root, *keep) meet annotations with
     an article by (article, root word = token), then the phrase is compared. Rows (sentence_id, wording, *keep, node)."""
-    spans = associated_wordings(annotations).filter("NOT nested").join(annotations.select("sentence_id", "article"), "sentence_id")
+    spans = associated_wordings(annotations).filter("NOT nested")
     w = wordings.select(F.col("article").alias("a"), F.col("wording").alias("w"), F.col("root"), *keep)
     hits = spans.join(w, (F.col("article") == F.col("a")) & (F.col("word") == F.col("root")) & (F.col("wording") == F.col("w")))
     return hits.groupBy("sentence_id", "article", F.col("w").alias("wording"), *keep).agg(F.min("node").alias("node"))
 
 
-def anonymous_names(tokens: Column, nodes: Column, subject: Column, obj: Column, locale: Locale | None = None) -> Column:
-    """Array of (node, name): tags for root, subject and object, numbered tags for proper nouns and numbers, words for the rest."""
-    locale = locale or English()
-    other = lambda n: (n != 0) & (n != subject) & (n != obj)
-    proper = lambda n: locale.part_of_proper_noun(word_at(tokens, n)) & word_at(tokens, n).rlike(r"\p{L}")
-    entities = F.filter(nodes, lambda n: other(n) & proper(n))
-    numbers = F.filter(nodes, lambda n: other(n) & ~proper(n) & is_numeric(word_at(tokens, n)))
-    numbered = lambda prefix, within, n: F.concat(F.lit(prefix), F.lpad((F.array_position(within, n) - 1).cast("string"), 5, "0"))
-    name = lambda n: (
-        F.when(n == 0, ROOT_TAG).when(n == subject, SUBJECT_TAG).when(n == obj, OBJECT_TAG)
-        .when(F.array_contains(entities, n), numbered(ENTITY_PREFIX, entities, n))
-        .when(F.array_contains(numbers, n), numbered(NUMERIC_PREFIX, numbers, n))
-        .otherwise(word_at(tokens, n))
-    )
-    return F.transform(nodes, lambda n: F.struct(n.alias("node"), name(n).alias("name")))
+@F.pandas_udf(T.StructType().add("edges", T.ArrayType(T.StructType().add("tail", T.StringType()).add("head", T.StringType()).add("label", T.StringType()))).add("entities", T.ArrayType(T.IntegerType())))
+def generalise(tokens: pd.Series, edges: pd.Series, subject: pd.Series, obj: pd.Series) -> pd.DataFrame:
+    """The pattern between two nodes of a sentence, in one pass over the row.
+
+    Edges inside the paths from the root to both nodes, with tags for root, subject and object, numbered tags for
+    proper nouns and numbers in token order, and words for the rest; equal edges merge once positions are gone.
+    Null edges if a node is not reached. entities are the nodes behind the proper nouns' tags, in order."""
+    rows = []
+    for words, es, s, o in zip(tokens, edges, subject, obj, strict=True):
+        es = list(es)
+        paths = paths_from(es, 0)
+        if s not in paths or o not in paths:
+            rows.append((None, None))
+            continue
+        word = {t["idx"]: t["word"] for t in words}
+        names, entities, numbers = {0: ROOT_TAG, s: SUBJECT_TAG, o: OBJECT_TAG}, [], 0
+        for n in sorted({*paths[s], *paths[o]} - {0, s, o}):
+            if word[n].istitle():
+                names[n] = f"{ENTITY_PREFIX}{len(entities):05d}"
+                entities.append(n)
+            elif word[n][:1].isdecimal():
+                names[n] = f"{NUMERIC_PREFIX}{numbers:05d}"
+                numbers += 1
+            else:
+                names[n] = word[n]
+        kept = sorted({(names[e["tail"]], names[e["head"]], e["label"]) for e in es if e["tail"] in names and e["head"] in names})
+        rows.append(([{"tail": t, "head": h, "label": x} for t, h, x in kept], entities))
+    return pd.DataFrame(rows, columns=["edges", "entities"])
 
 
 def dot_text(name: Column, edges: Column) -> Column:
