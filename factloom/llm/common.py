@@ -95,7 +95,7 @@ def packed(buckets: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, lis
     """Rows (bucket, bytes of each column) of entries put together by bucket."""
     order = np.argsort(buckets, kind="stable")
     ids, starts = np.unique(buckets[order], return_index=True)
-    ends = np.r_[starts[1:], len(order)]
+    ends = np.r_[starts[1:], len(order)][: len(starts)]
     columns = [c[order] for c in columns]
     for b, i, j in zip(ids.tolist(), starts.tolist(), ends.tolist(), strict=True):
         yield b, [c[i:j].tobytes() for c in columns]

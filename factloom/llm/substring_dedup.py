@@ -58,6 +58,17 @@ def several(hashes: np.ndarray, docs: np.ndarray, multi: np.ndarray) -> tuple[np
     return hashes[starts], docs[starts], np.maximum.reduceat(multi, starts) | (np.maximum.reduceat(docs, starts) != docs[starts])
 
 
+def by_chunk(hashes: np.ndarray, docs: np.ndarray, multi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted entries, one for each hash and chunk: its smallest document there and whether several hold it there."""
+    order = np.lexsort((docs, hashes))
+    hashes, docs, multi = hashes[order], docs[order], multi[order]
+    chunk = docs // CHUNK
+    starts = np.flatnonzero(np.r_[True, (hashes[1:] != hashes[:-1]) | (chunk[1:] != chunk[:-1])]) if len(hashes) else np.zeros(0, np.int64)
+    if not len(starts):
+        return hashes, docs, multi
+    return hashes[starts], docs[starts], np.maximum.reduceat(multi, starts) | (np.maximum.reduceat(docs, starts) != docs[starts])
+
+
 def with_chunk(docs: DataFrame) -> DataFrame:
     return docs.filter("doc_id IS NOT NULL").withColumn("chunk", F.shiftright("doc_id", CHUNK.bit_length() - 1))
 
@@ -99,15 +110,12 @@ def merge_run(run: int):
         both = (True, False)
         hashes, docs, multi = take("hashes", U64, both), take("docs", np.int64, both), take("multi", np.uint8, both).astype(bool)
         known, first, shared = several(hashes, docs, multi)
-        mine, least, twice = several(take("hashes", U64, (True,)), take("docs", np.int64, (True,)), take("multi", np.uint8, (True,)).astype(bool))
+        mine, least, twice = by_chunk(take("hashes", U64, (True,)), take("docs", np.int64, (True,)), take("multi", np.uint8, (True,)).astype(bool))
         out = [("run", bucket, mine.tobytes(), least.tobytes(), twice.astype(np.uint8).tobytes())]
         flagged = shared[np.searchsorted(known, hashes)]
         chunk, hashes = docs[flagged] // CHUNK, hashes[flagged]
-        order = np.lexsort((hashes, chunk))
-        chunk, hashes = chunk[order], hashes[order]
-        ids, starts = np.unique(chunk, return_index=True)
-        for c, i, j in zip(ids.tolist(), starts.tolist(), np.r_[starts[1:], len(chunk)].tolist(), strict=True):
-            out.append(("flag", c, np.unique(hashes[i:j]).tobytes(), b"", b""))
+        for c, (own,) in packed(chunk, hashes):
+            out.append(("flag", c, np.unique(np.frombuffer(own, U64)).tobytes(), b"", b""))
         kind, at, a, b, c = zip(*out, strict=True)
         return pa.table({"kind": list(kind), "at": pa.array(at, pa.int64()), "hashes": pa.array(a, pa.binary()), "docs": pa.array(b, pa.binary()), "multi": pa.array(c, pa.binary()), "run": pa.array([run] * len(out), pa.int32())})
 
@@ -223,7 +231,7 @@ class FingerprintIndex:
             rows = rows.union(run.drop("kind"))
 
         def one(table: pa.Table) -> pa.Table:
-            h, d, m = several(joined(table.column("hashes"), U64), joined(table.column("docs"), np.int64), joined(table.column("multi"), np.uint8).astype(bool))
+            h, d, m = by_chunk(joined(table.column("hashes"), U64), joined(table.column("docs"), np.int64), joined(table.column("multi"), np.uint8).astype(bool))
             return pa.table({"at": table.column("at").slice(0, 1), "hashes": pa.array([h.tobytes()], pa.binary()), "docs": pa.array([d.tobytes()], pa.binary()), "multi": pa.array([m.astype(np.uint8).tobytes()], pa.binary()), "run": table.column("run").slice(0, 1)})
 
         self.runs = [self.scratch.save(rows.groupBy("at").applyInArrow(one, "at long, hashes binary, docs binary, multi binary, run int"), f"run{self.made}")]
