@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections import deque
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -117,6 +118,10 @@ def pattern_paths(edges: pd.Series) -> pd.Series:
     return edges.map(both)
 
 
+#: As nondeterministic functions they are evaluated once for a row and never copied into a filter or a join condition.
+root_paths, pattern_paths = root_paths.asNondeterministic(), pattern_paths.asNondeterministic()
+
+
 def reached_from_root(annotations: DataFrame) -> DataFrame:
     """Rows (sentence_id, nodes, reached): a graph with fewer reached nodes than nodes is not connected from its root."""
     nodes = F.array_distinct(F.flatten(F.transform("edges", lambda e: F.array(e["tail"], e["head"]))))
@@ -138,32 +143,51 @@ def span_of(text: Column, tokens: Column, edges: Column, node: Column) -> Column
     return F.struct(nested.alias("nested"), F.when(nested, word_at(tokens, node)).otherwise(text.substr(start + 1, end - start)).alias("wording"))
 
 
-@F.pandas_udf(T.ArrayType(T.StructType().add("node", T.IntegerType()).add("word", T.StringType()).add("nested", T.BooleanType()).add("wording", T.StringType())))
-def phrases(text: pd.Series, tokens: pd.Series, edges: pd.Series) -> pd.Series:
+def spans(sentence: str, words: list, edges: list) -> list[dict]:
     """``span_of`` for every token, in one pass over the sentence."""
+    first = {t["idx"]: t["idx"] for t in words}
+    last, nested, at = dict(first), set(), {t["idx"]: t for t in words}
+    for e in edges:
+        if e["label"] in PHRASE_RELATIONS:
+            if e["tail"] != 0:
+                nested.add(e["head"])
+            if e["tail"] in first:
+                first[e["tail"]], last[e["tail"]] = min(first[e["tail"]], e["head"]), max(last[e["tail"]], e["head"])
+    cut = lambda n: sentence[at[first[n]]["start"] : at[last[n]]["end"]]
+    return [{"node": n, "word": t["word"], "nested": n in nested, "wording": t["word"] if n in nested else cut(n)} for n, t in at.items()]
 
-    def spans(sentence, words, es):
-        if sentence is None or words is None or es is None:
-            return None
-        first = {t["idx"]: t["idx"] for t in words}
-        last, nested = dict(first), set()
-        for e in es:
-            if e["label"] in PHRASE_RELATIONS:
-                if e["tail"] != 0:
-                    nested.add(e["head"])
-                if e["tail"] in first:
-                    first[e["tail"]], last[e["tail"]] = min(first[e["tail"]], e["head"]), max(last[e["tail"]], e["head"])
-        at = {t["idx"]: t for t in words}
-        cut = lambda n: sentence[at[first[n]]["start"] : at[last[n]]["end"]]
-        return [{"node": n, "word": t["word"], "nested": n in nested, "wording": t["word"] if n in nested else cut(n)} for n, t in at.items()]
 
-    return pd.Series([spans(*row) for row in zip(text, tokens, edges, strict=True)])
+@F.pandas_udf(T.ArrayType(T.StructType().add("tail", T.IntegerType()).add("head", T.IntegerType()).add("label", T.StringType()).add("word", T.StringType()).add("wording", T.StringType())))
+def said_edges(text: pd.Series, tokens: pd.Series, edges: pd.Series) -> pd.Series:
+    """Edges with the word and the phrase at their heads. (A lambda of a Column cannot look into a Python function's result.)"""
+
+    def one(t, w, es):
+        said = {s["node"]: s for s in spans(t, w, es)}
+        return [{"tail": e["tail"], "head": e["head"], "label": e["label"], "word": said[e["head"]]["word"], "wording": said[e["head"]]["wording"]} for e in es if e["head"] in said]
+
+    return pd.Series([None if t is None or w is None or e is None else one(t, w, e) for t, w, e in zip(text, tokens, edges, strict=True)])
+
+
+said_edges = said_edges.asNondeterministic()
 
 
 def associated_wordings(annotations: DataFrame) -> DataFrame:
     """Rows (sentence_id, node, word, nested, wording) for every token, and article if annotations have it."""
     keys = [c for c in ("sentence_id", "article") if c in annotations.columns]
-    return annotations.select(*keys, phrases("text", "tokens", "edges").alias("s")).select(*keys, F.inline("s"))
+
+    def emit(batches):
+        for batch in batches:
+            own, out = [], []
+            for i, (text, tokens, edges) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("text", "tokens", "edges")), strict=True)):
+                found = spans(text, tokens, edges) if None not in (text, tokens, edges) else []
+                own += [i] * len(found)
+                out += found
+            at = pa.array(own, pa.int64())
+            kinds = {"node": pa.int32(), "word": pa.string(), "nested": pa.bool_(), "wording": pa.string()}
+            yield pa.RecordBatch.from_pydict({k: batch.column(k).take(at) for k in keys} | {k: pa.array([s[k] for s in out], t) for k, t in kinds.items()})
+
+    schema = annotations.select(*keys).schema.add("node", T.IntegerType()).add("word", "string").add("nested", "boolean").add("wording", "string")
+    return annotations.select(*keys, "text", "tokens", "edges").mapInArrow(emit, schema)
 
 
 def wording_hits(annotations: DataFrame, wordings: DataFrame, keep: list[str]) -> DataFrame:
@@ -205,6 +229,9 @@ def generalise(tokens: pd.Series, edges: pd.Series, subject: pd.Series, obj: pd.
     return pd.DataFrame(rows, columns=["edges", "entities"])
 
 
+generalise = generalise.asNondeterministic()
+
+
 def dot_text(name: Column, edges: Column) -> Column:
     """A pattern in the DOT language, for export."""
     lines = F.transform(edges, lambda e: F.concat(F.lit('"'), e["tail"], F.lit('" -> "'), e["head"], F.lit('" [label="'), e["label"], F.lit('"];')))
