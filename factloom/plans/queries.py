@@ -511,8 +511,11 @@ def pattern_steps(spark, sf):
 
 
 def _matched(spark, sf):
-    h = _harvested(spark, sf).persist()
-    return match.match(demo.annotations(spark, sf).persist(), harvest.patterns_of(h), bits=256), harvest.pattern_sources(h)
+    h, sentences = _harvested(spark, sf).persist(), demo.annotations(spark, sf).persist()
+    phrases = match.edge_rows(sentences).select(F.col("wording").alias("label")).distinct()
+    labels, redirects, types = demo.names(spark, sf)
+    classes = facts.classes_of(phrases, labels, redirects, types, "en").persist()
+    return match.match(sentences, harvest.patterns_of(h, classes), classes, bits=256), harvest.pattern_sources(h)
 
 
 @query

@@ -146,6 +146,20 @@ def test_entities_need_classes(spark):
     assert match.match(sentence, make(["Person"]), classes).count() == 0
 
 
+def test_patterns_with_entities_match_their_own_sentences(spark):
+    from factloom.plans import queries
+
+    sf = "/root/testdata/sf0.001"
+    # where equal words have merged (a head with two tails), a path of the pattern may be shorter than the sentence's
+    tree = F.size("edges") == F.size(F.array_distinct(F.transform("edges", lambda e: e["head"])))
+    usable = match.usable_patterns(harvest.patterns_of(queries._harvested(spark, sf))).filter(tree).select("hash")
+    found, sources = queries._matched(spark, sf)
+    kept = sources.join(usable, sources.pattern == usable.hash).select("pattern", "subject_wording", "object_wording").distinct().cache()
+    again = match.trivial(found, sources).select("pattern", "subject_wording", "object_wording").distinct()
+    assert kept.count() > 100 and kept.exceptAll(again).count() == 0
+    spark.catalog.clearCache()
+
+
 def test_coverage_without_worded_facts(spark):
     facts = spark.createDataFrame([(1, "p", None)], "subject long, p string, wording string")
     texts = spark.createDataFrame([(1, "Some text.")], "subject long, text string")
