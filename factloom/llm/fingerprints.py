@@ -69,7 +69,7 @@ def sample(term: Column, weight: Column, share: Column, seed: int) -> Column:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """Adds next_id and next_text: the row with the next larger doc_id, after the last one the first.
+    """Adds next_id and next_text: the row with the next larger doc_id, after the last one the first; and row, its number in its bucket.
 
     Ids are cut into ranges of about ``BUCKET`` documents, exactly bounded if ids are dense. A range's last
     row takes the first row of the next range, which a table with one row for each range tells."""
@@ -84,9 +84,9 @@ def with_next(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").alias("head"), "text").join(F.broadcast(heads) if small else heads, "head")
     texts = texts.groupBy("bucket", "head").agg(F.min("text").alias("head_text"))
     inside = Window.partitionBy("bucket").orderBy("doc_id", F.xxhash64("text"))
-    rows = docs.select("bucket", "doc_id", "text", F.lead("doc_id").over(inside).alias("n_id"), F.lead("text").over(inside).alias("n_text"))
+    rows = docs.select("bucket", "doc_id", "text", F.lead("doc_id").over(inside).alias("n_id"), F.lead("text").over(inside).alias("n_text"), F.row_number().over(inside).alias("row"))
     last = F.col("n_id").isNull()
-    return rows.join(texts, "bucket", "left").select("bucket", "doc_id", "text", F.when(last, F.col("head")).otherwise(F.col("n_id")).alias("next_id"), F.when(last, F.col("head_text")).otherwise(F.col("n_text")).alias("next_text"))
+    return rows.join(texts, "bucket", "left").select("bucket", "row", "doc_id", "text", F.when(last, F.col("head")).otherwise(F.col("n_id")).alias("next_id"), F.when(last, F.col("head_text")).otherwise(F.col("n_text")).alias("next_text"))
 
 
 def signatures(texts: DataFrame, keys: list[str], columns: list[str], samples: int) -> DataFrame:
@@ -124,9 +124,9 @@ def document_fingerprints(spark: SparkSession, docs: DataFrame, samples: int = 3
     scratch = Scratch(spark, "fingerprints")
     docs = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     edited = F.concat(F.expr("substring(text, 1, length(text) - length(text) div 2)"), F.expr("substring(next_text, 1, int(length(text) div 2))"))
-    texts = with_next(docs).select("bucket", "doc_id", "next_id", F.length("text").cast("long").alias("n_chars"), "text", edited.alias("edited"))
+    texts = with_next(docs).select("bucket", "row", "doc_id", "next_id", F.length("text").cast("long").alias("n_chars"), "text", edited.alias("edited"))
     texts = texts.withColumn("edited_sha256", F.sha2("edited", 256))
-    rows = scratch.save(signatures(texts, ["bucket", "doc_id", "next_id", "n_chars", "edited_sha256"], ["text", "edited"], samples), "signatures")
+    rows = scratch.save(signatures(texts, ["bucket", "row", "doc_id", "next_id", "n_chars", "edited_sha256"], ["text", "edited"], samples), "signatures")
     other = rows.groupBy("doc_id").agg(F.min("names0").alias("next_names")).withColumnRenamed("doc_id", "next_id")
     return rows.join(other, "next_id").select(
         "doc_id", "n_chars", "edited_sha256", as_text(F.col("names0")).alias("fingerprint"), as_text(F.col("names1")).alias("edited_fingerprint"),

@@ -238,6 +238,12 @@ def test_fingerprints(spark):
     assert fingerprints.document_fingerprints(spark, frame(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_fingerprints_of_equal_rows(spark):
+    rows = [(5, "a b c d")] * 3 + [(7, "e f g h"), (None, "x")]
+    got = fingerprints.document_fingerprints(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in got) == [5, 5, 5, 7]
+
+
 def test_embeddings_equal_brute_force(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(6, 8))
