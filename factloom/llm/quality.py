@@ -60,10 +60,11 @@ class Features(dict):
 
 @dataclass
 class OrdinalModel:
-    """Weights by feature number and the ordered thresholds between grades."""
+    """Weights by feature number and the ordered thresholds between grades; fitted is false if there were no ratings to fit."""
 
     weights: np.ndarray
     thresholds: np.ndarray
+    fitted: bool = True
 
     def tails(self, scores: np.ndarray) -> np.ndarray:
         """P(grade > k) for each score and each threshold k."""
@@ -102,7 +103,7 @@ def fit_ordinal(features: list[np.ndarray], grades: np.ndarray, weight: np.ndarr
             if y > 0:
                 theta[y - 1] += 0.02 / (1 + step) * below
             theta = np.maximum.accumulate(theta)
-    model = OrdinalModel(weights_of(z, n).astype(np.float32), theta)
+    model = OrdinalModel(weights_of(z, n).astype(np.float32), theta, len(features) > 0)
     if len(features):
         scores, rows = model.score(features), weight / weight.sum()
         for _ in range(400):
@@ -140,7 +141,8 @@ def rated_features(docs: DataFrame, grades: DataFrame, limit: int):
 
 
 def fit_quality(docs: DataFrame, grades: DataFrame, levels: int, limit: int = LABELLED) -> OrdinalModel:
-    """Fit on docs(doc_id, text) and grades(doc_id, grade int from 0 to levels - 1); without ratings all weights are zero."""
+    """Fit on docs(doc_id, text) and grades(doc_id, grade int from 0 to levels - 1); without ratings of these docs all weights
+    are zero and the model is not fitted: ``rate_documents`` then keeps every document with words."""
     return fit_ordinal(*rated_features(docs, grades, limit), levels)
 
 
@@ -149,7 +151,8 @@ def rate_documents(docs: DataFrame, model: OrdinalModel, enough: int, least: flo
 
     Adds expected_grade, tail_probability (of grades >= enough) and kept (that probability is at least
     ``least``) to the columns of docs; with only_kept, returns the kept rows with docs' own columns. A
-    null text and one without words are rated 0 and not kept. Columns of docs with these names are replaced.
+    null text and one without words are rated 0 and not kept. A model that is not fitted can reject nothing
+    else, whatever ``least`` is. Columns of docs with these names are replaced.
     """
     own = [f for f in docs.schema.fields if only_kept or f.name not in ("expected_grade", "tail_probability", "kept")]
     names = [f.name for f in own]
@@ -161,7 +164,7 @@ def rate_documents(docs: DataFrame, model: OrdinalModel, enough: int, least: flo
             found = [features.of(t) for t in texts]
             tails = held.value.tails(held.value.score(found)) if found else np.zeros((0, 1))
             tails[[not len(f) for f in found]] = 0
-            kept = (tails[:, enough - 1] >= least) & np.array([len(f) > 0 for f in found], bool)
+            kept = ((tails[:, enough - 1] >= least) | (not held.value.fitted)) & np.array([len(f) > 0 for f in found], bool)
             out = pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in names], names)
             if only_kept:
                 yield out.filter(pa.array(kept))

@@ -293,6 +293,13 @@ def test_quality(spark):
     assert quality.rate_documents(docs, blank, 2, 0.5).count() == 242 and quality.rate_documents(docs.limit(0), model, 2, 0.5).count() == 0
 
 
+def test_quality_without_ratings_keeps_documents(spark):
+    docs = frame(spark, ["some words", "more words", "", None])
+    for grades in ([], [(9999, 1)]):  # none, or none of these documents
+        model = quality.fit_quality(docs, spark.createDataFrame(grades, "doc_id long, grade int"), 3)
+        assert sorted(r["doc_id"] for r in quality.rate_documents(docs, model, 2, 0.4, only_kept=True).collect()) == [0, 3]
+
+
 def test_url_filters(spark):
     day = lambda d: f"2024-01-{d:02}"
     entries = [("domain", "B.org", "add", day(5)), ("domain", "b.org", "remove", day(10)), ("domain", "b.org", "add", day(10)), ("domain", "c.org", "add", day(2)), ("domain", "c.org", "remove", day(4)), ("url", "d.org/x/", "add", day(3)), (None, "e.org", "add", day(1))]
