@@ -328,3 +328,23 @@ def test_pipeline_stages(spark):
     assert {r["doc_id"] for r in left.collect()} <= set(texts) and 0 < mix.count() <= 2 * left.count()
     packed = p.packed(spark, mix, sf).collect()
     assert collections.Counter(r["doc_id"] for r in packed if r["piece"] == 0) == collections.Counter(r["doc_id"] for r in mix.collect())
+
+
+def test_pipeline_selects_rows_not_ids(spark, tmp_path):
+    import corpus_pipeline as p
+
+    rng = random.Random(9)
+    a, b, c, d, e = (prose(rng, 40) for _ in range(5))
+    rows = [(3, a), (5, a), (5, b), (6, c), (6, c), (None, d), (None, e)]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    pairs = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    want = sorted([(3, a), (5, b), (6, c), (None, d), (None, e)], key=str)
+    one = p.one_of_each(spark, docs, "").cache()
+    assert pairs(one) == want
+    assert pairs(p.without_repeats(spark, one, "")) == want
+    copies = sum(r["copies"] for r in mixing.mix_sources(spark, p.keyed(spark, docs)).collect())
+    assert p.mixed(spark, docs, "").count() == copies
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = collections.Counter(r["doc_id"] for r in p.run(spark, str(tmp_path)).collect())
+    assert set(got) == {3, 5, 6, None}
