@@ -5,8 +5,8 @@ A document's set holds its distinct word shingles. The join takes three steps.
 *Index.* Every set is ordered by one global order, rare shingles first, and only its prefix enters the
 index: two sets with Jaccard similarity t share a shingle in prefixes of ``n - ceil(t n) + 1``. Sets
 with the same shingles are put together first, so copies cost nothing more. The index lists are dealt
-out in packed buckets. A list's entries are ordered by (set size, position); sweeps over it stop at the
-first block that no size or position bound lets pass.
+out in packed buckets. A list's entries are ordered by (set size, position); the sweep over a bucket's short
+lists stops when no pair passes the size bound, and positions bound the pairs that were formed.
 
 *Candidates.* Short lists give pairs, whose common prefix shingles are added up and bounded. Long lists,
 as near copies by the thousand make them, give no pairs: all members meet at one representative.
