@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -10,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -22,34 +23,54 @@ class Scratch:
     """Tables of one operator run below the shared folder that ``spark.checkpoint.dir`` names.
 
     Writing a table cuts the lineage: a later loss of an executor rereads files instead of
-    repeating the stages before them. Where the setting is missing (tests), a temporary folder is used.
+    repeating the stages before them. Where the setting is missing, one process (tests) takes a temporary
+    folder, and a cluster gets an error. ``drop`` removes tables that nothing reads any more, and
+    ``drop_all`` the tables of all runs of this process, once their results are not needed.
     """
 
+    folders: list[str] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="factloom-")
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            base = tempfile.mkdtemp(prefix="factloom-")
         self.path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.folders.append(self.path)
 
     def save(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         path = f"{self.path}/{name}"
         df.write.mode("overwrite").option("compression", codec).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    def drop(self, *names: str) -> None:
+        for name in names:
+            self._remove(self.spark, f"{self.path}/{name}")
+
+    @classmethod
+    def drop_all(cls, spark: SparkSession) -> None:
+        while cls.folders:
+            cls._remove(spark, cls.folders.pop())
+
+    @staticmethod
+    def _remove(spark: SparkSession, path: str) -> None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 class WordHash(dict):
-    """64-bit hashes of words by their bytes; forgets them at ``LIMIT`` words, so memory is bounded."""
+    """64-bit hashes of words by their bytes; forgets them at ``LIMIT`` words, and keeps none of over ``LONG`` bytes, so memory is bounded."""
 
-    LIMIT = 300_000
+    LIMIT, LONG = 300_000, 200
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= self.LONG:
+            if len(self) >= self.LIMIT:
+                self.clear()
+            self[word] = value
         return value
 
     def of(self, words: list[bytes]) -> np.ndarray:
@@ -169,5 +190,31 @@ def components(spark: SparkSession, scratch: Scratch, links: DataFrame) -> DataF
     return label
 
 
+def in_ranges(rows: DataFrame, column: str, parts: int) -> DataFrame:
+    """Adds ``bucket``, the number of one of about ``parts`` ranges of an integer column without nulls, in ascending order.
+
+    Ranges are cut at approximate quantiles: at most 256 coarse ones, whose boundaries the driver holds, and in
+    each up to 512 fine ones in a table of one row for each coarse range, at most 1 MB, that is broadcast. Quantiles
+    are of the distance to the least value of a range, so neither an outlying value nor values that fill all
+    64 bits leave the ranges uneven. Evenness is approximate, the order is not."""
+    first = min(256, max(1, parts))
+
+    def quantiles(n: int, low: Column) -> Column:
+        distance = F.col(column).cast("decimal(20,0)") - low.cast("decimal(20,0)")
+        return F.percentile_approx(distance.cast("double"), F.array(*[F.lit(i / n) for i in range(1, n)] or [F.lit(1.0)]), 16 * n)
+
+    least = rows.agg(F.min(column)).first()[0]
+    found = rows.agg(quantiles(first, F.lit(least))).first()[0] if least is not None else None
+    lows = [least or 0, *sorted({min(least + int(d), 2**63 - 1) for d in found or []} - {least})]
+    second = min(512, max(1, -(-parts // len(lows))))  # more of them if few coarse boundaries differ
+    longs = lambda values: F.array(*[F.lit(v).cast("long") for v in values])
+    coarse = rows.withColumn("coarse", F.size(F.filter(longs(lows), lambda v: v <= F.col(column))) - 1)
+    low = F.get(longs(lows), F.col("coarse"))
+    fine = coarse.withColumn("low", low).groupBy("coarse").agg(F.min("low").alias("low"), quantiles(second, F.col("low")).alias("d"))
+    fine = fine.select("coarse", F.transform("d", lambda d: (F.col("low").cast("decimal(20,0)") + d.cast("decimal(20,0)")).cast("long")).alias("cuts"))
+    inside = F.size(F.filter("cuts", lambda v: v <= F.col(column)))
+    return coarse.join(F.broadcast(fine), "coarse").withColumn("bucket", F.col("coarse").cast("long") * 1024 + inside).drop("coarse", "cuts")
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -1,8 +1,10 @@
 """Embedding near-dedup: PCA-ordered tiled comparison.
 
 Vectors are scaled to length one and turned into the principal axes of the whole table, largest first.
-Within a label they are sorted by the leading axis and cut into tiles. Two tiles meet only if the
-distance of their centres, less their radii, allows the threshold. When two tiles meet, the products of
+Within a label they are sorted by cells of the leading axes and cut into tiles, which keep their ranges on
+these axes and their centre. A cell is as wide as the largest distance that reaches the threshold, so a tile
+is joined with those of its own and the neighbouring cells only; of these, two tiles meet if the gaps of their
+ranges and the distance of their centres, less their radii, allow the threshold. When two tiles meet, the products of
 the leading axes are added up first; what the remaining axes can add is bounded by the product of the
 two suffix norms, and rows and columns that cannot reach the threshold any more are dropped before the
 next axes. The pairs that are left are compared by cosine in double precision of the given numbers.
@@ -15,13 +17,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch, components, local_components
 
 #: Vectors in a tile.
 TILE = 512
+#: Leading axes whose cells order the vectors.
+CELLS = 3
 #: Axes whose products are added up before each bound.
 AXES = (8, 16, 32)
 #: Rounding that the bounds allow for.
@@ -29,27 +35,38 @@ SLACK = 1e-9
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """Rows of a column of packed vectors."""
-    return np.stack([np.frombuffer(x, np.float64) for x in column.to_pylist()]) if len(column) else np.zeros((0, 0))
+    """Rows of a column of packed vectors of one length."""
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), np.float64).reshape(len(rows), -1) if rows else np.zeros((0, 0))
 
 
 def packed_vectors(rows: DataFrame) -> DataFrame:
-    """(vec_id, label, dim, v): vectors that can be compared, as bytes of doubles."""
+    """(vec_id, label, dim, v) for each row: vectors that can be compared, as bytes of doubles; v is null for the others. Labels become text."""
 
     def pack(batches):
         for batch in batches:
-            out = []
-            for i, label, values in zip(*(batch.column(c).to_pylist() for c in ("vec_id", "label", "embedding")), strict=True):
-                if i is None or label is None or not values or None in values:
-                    continue
-                v = np.array(values, np.float64)
-                if np.isfinite(v).all() and v.any():
-                    out.append((i, label, len(v), v.tobytes()))
-            if out:
-                i, label, dim, v = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(label, pa.int64()), pa.array(dim, pa.int32()), pa.array(v, pa.binary())], ["vec_id", "label", "dim", "v"])
-
-    return rows.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), "embedding").mapInArrow(pack, "vec_id long, label long, dim int, v binary")
+            lists = batch.column("embedding")
+            n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            values = pc.fill_null(lists.flatten(), np.nan).to_numpy(zero_copy_only=False) + 0.0  # no negative zeros
+            ends = np.r_[0, np.cumsum(n)]
+            bad, some = (np.r_[0, np.cumsum(x)] for x in (~np.isfinite(values), values != 0))
+            ids = pc.is_valid(batch.column("vec_id")).to_numpy(zero_copy_only=False) & pc.is_valid(batch.column("label")).to_numpy(zero_copy_only=False)
+            good = ids & (bad[ends[1:]] == bad[ends[:-1]]) & (some[ends[1:]] > some[ends[:-1]])
+            flags = pa.py_buffer(np.packbits(good, bitorder="little").tobytes())
+            v = pa.Array.from_buffers(pa.binary(), len(n), [flags, pa.py_buffer((ends * 8).astype(np.int32)), pa.py_buffer(values)])
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), pa.array(n, pa.int32()), v], ["vec_id", "label", "dim", "v"])
+
+    return rows.select(F.col("vec_id").cast("long"), label_text(rows).alias("label"), F.col("embedding").cast("array<double>")).mapInArrow(pack, "vec_id long, label string, dim int, v binary")
+
+
+def label_text(rows: DataFrame) -> Column:
+    """A label of any type as text, so that equal labels and no others have equal texts."""
+    kind = rows.schema["label"].dataType
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return (F.col("label") + F.lit(0.0)).cast("string")
+    if isinstance(kind, T.BinaryType):
+        return F.hex("label")
+    return F.to_json(F.struct("label")) if isinstance(kind, (T.ArrayType, T.StructType, T.MapType)) else F.col("label").cast("string")
 
 
 def scaled(v: np.ndarray) -> np.ndarray:
@@ -78,42 +95,71 @@ def principal_axes(vectors: DataFrame) -> dict[int, np.ndarray]:
     return axes
 
 
-def tiles(ones: DataFrame, axes: dict[int, np.ndarray]) -> DataFrame:
-    """Tiles of one label and dimension, cut from ranges of the leading axis: packed ids, copies and vectors, centre and radius."""
+def tiles(ones: DataFrame, axes: dict[int, np.ndarray], near: float) -> DataFrame:
+    """Tiles of one label and dimension, cut from the order of cells on the leading axes: packed keys, copies and vectors, centre, radius and ranges of cells."""
+
+    def leading(v: np.ndarray, d: int) -> np.ndarray:
+        x = scaled(v) @ axes[d][:, :CELLS]
+        return np.pad(x, ((0, 0), (0, CELLS - x.shape[1])))
 
-    def lead(batches):
+    def place(batches):
         for batch in batches:
-            dims, out = batch.column("dim").to_numpy(), np.zeros(batch.num_rows)
+            dims, out = batch.column("dim").to_numpy(), np.zeros((batch.num_rows, CELLS))
             for d in np.unique(dims).tolist():
                 at = dims == d
-                out[at] = scaled(matrix(batch.column("v").filter(pa.array(at)))) @ axes[d][:, 0]
-            yield batch.append_column("lead", pa.array(out))
+                out[at] = leading(matrix(batch.column("v").filter(pa.array(at))), d)
+            cells = np.floor(out / near).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(cells[:, k]) for k in range(CELLS)], pa.array(out[:, 0])], [*batch.schema.names, *names, "lead"])
 
     def cut(batches):
         held: dict = {}
         for batch in batches:
-            for i, n, label, dim, v in zip(*(batch.column(c).to_pylist() for c in ("vec_id", "n", "label", "dim", "v")), strict=True):
-                if held and (len(held["ids"]) == TILE or held["key"] != (label, dim)):
+            for key, n, label, dim, v in zip(*(batch.column(c).to_pylist() for c in ("key", "n", "label", "dim", "v")), strict=True):
+                if held and (len(held["keys"]) == TILE or held["of"] != (label, dim)):
                     yield tile(held)
                     held = {}
-                held = held or {"key": (label, dim), "ids": [], "n": [], "v": []}
-                held["ids"].append(i)
+                held = held or {"of": (label, dim), "keys": [], "n": [], "v": []}
+                held["keys"].append(key)
                 held["n"].append(n)
                 held["v"].append(v)
         if held:
             yield tile(held)
 
     def tile(held):
-        v = np.stack([np.frombuffer(x, np.float64) for x in held["v"]])
-        x = scaled(v)
+        label, dim = held["of"]
+        v = np.frombuffer(b"".join(held["v"]), np.float64).reshape(-1, dim)
+        x, at = scaled(v), leading(v, dim)
         centre = x.mean(axis=0)
         radius = float(np.sqrt(((x - centre) ** 2).sum(axis=1)).max())
-        label, dim = held["key"]
-        ids = np.array(held["ids"], np.int64)
-        return pa.RecordBatch.from_pydict({"label": [label], "dim": pa.array([dim], pa.int32()), "tile": pa.array([int(ids.min())], pa.int64()), "ids": [ids.tobytes()], "n": [np.array(held["n"], np.int64).tobytes()], "v": [v.tobytes()], "centre": pa.array([centre.tolist()], pa.list_(pa.float64())), "radius": [radius]})
-
-    ranked = ones.mapInArrow(lead, "vec_id long, n long, label long, dim int, v binary, lead double")
-    return ranked.repartitionByRange("label", "dim", "lead", "vec_id").sortWithinPartitions("label", "dim", "lead", "vec_id").mapInArrow(cut, "label long, dim int, tile long, ids binary, n binary, v binary, centre array<double>, radius double")
+        keys = np.array(held["keys"], np.int64)
+        low, high = at.min(axis=0) - SLACK, at.max(axis=0) + SLACK
+        listed = lambda x, kind: pa.array([x.tolist()], pa.list_(kind))
+        return pa.RecordBatch.from_pydict({
+            "label": [label], "dim": pa.array([dim], pa.int32()), "tile": pa.array([int(keys.min())], pa.int64()), "keys": [keys.tobytes()], "n": [np.array(held["n"], np.int64).tobytes()], "v": [v.tobytes()],
+            "centre": listed(centre, pa.float64()), "radius": [radius], "low": listed(low, pa.float64()), "high": listed(high, pa.float64()),
+            "first": listed(np.floor(low / near).astype(int), pa.int64()), "last": listed(np.floor(high / near).astype(int), pa.int64()),
+        })
+
+    names = [f"cell{k}" for k in range(CELLS)]
+    ranked = ones.mapInArrow(place, "key long, n long, label string, dim int, v binary, " + ", ".join(f"{c} int" for c in names) + ", lead double")
+    order = ["label", "dim", *names, "lead", "key"]
+    kind = "label string, dim int, tile long, keys binary, n binary, v binary, centre array<double>, radius double, low array<double>, high array<double>, first array<long>, last array<long>"
+    return ranked.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(cut, kind)
+
+
+def tile_pairs(cut: DataFrame, near: float) -> DataFrame:
+    """(label, dim, tile, tile2): pairs of tiles, each once, whose ranges and centres lie near enough. Equi-join on cells of two axes:
+    one side has all cells that its ranges touch, the other their neighbours too; the lowest common cell counts."""
+    spread = lambda k, more: F.explode(F.sequence(F.get("first", F.lit(k)) - more, F.get("last", F.lit(k)) + more))
+    side = cut.select("label", "dim", "tile", "centre", "radius", "low", "high", "first", "last")
+    one = side.withColumn("i", spread(0, 0)).withColumn("j", spread(1, 0))
+    two = side.withColumn("i", spread(0, 1)).withColumn("j", spread(1, 1)).select("label", "dim", "i", "j", *[F.col(c).alias(f"{c}2") for c in side.columns[2:]])
+    lowest = lambda c, k: F.col(c) == F.greatest(F.get("first", F.lit(k)), F.get("first2", F.lit(k)) - 1)
+    gap = F.zip_with(F.zip_with("low", "high2", lambda x, y: x - y), F.zip_with("low2", "high", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0)))
+    length = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    apart = length(F.zip_with("centre", "centre2", lambda x, y: x - y)) - F.col("radius") - F.col("radius2")
+    met = one.join(two, ["label", "dim", "i", "j"]).filter((F.col("tile") <= F.col("tile2")) & lowest("i", 0) & lowest("j", 1))
+    return met.filter((length(gap) <= near) & (apart <= near)).select("label", "dim", "tile", "tile2")
 
 
 def links_of(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -159,22 +205,19 @@ def meet(axes: dict[int, np.ndarray], threshold: float):
             for k in range(batch.num_rows):
                 row = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
                 a, b = (np.frombuffer(row[c], np.float64).reshape(-1, row["dim"]) for c in ("v", "w"))
-                ids, other = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["others"], np.int64)
+                keys, other = np.frombuffer(row["keys"], np.int64), np.frombuffer(row["others"], np.int64)
                 n, m = np.frombuffer(row["n"], np.int64), np.frombuffer(row["m"], np.int64)
                 i, j = links_of(a, b, axes[row["dim"]], threshold)
-                same = row["tile"] == row["tile2"]
-                if same:
+                if row["tile"] == row["tile2"]:
                     i, j = i[i != j], j[i != j]
-                    links = np.bincount(i, weights=n[j], minlength=len(ids)).astype(np.int64)
-                    label = local_components(len(ids), i, j)
-                    all_ids = ids
+                    links = np.bincount(i, weights=n[j], minlength=len(keys)).astype(np.int64)
+                    label, every = local_components(len(keys), i, j), keys
                 else:
-                    links = np.r_[np.bincount(i, weights=m[j], minlength=len(ids)), np.bincount(j, weights=n[i], minlength=len(other))].astype(np.int64)
-                    label = local_components(len(ids) + len(other), i, j + len(ids))
-                    all_ids = np.r_[ids, other]
+                    links = np.r_[np.bincount(i, weights=m[j], minlength=len(keys)), np.bincount(j, weights=n[i], minlength=len(other))].astype(np.int64)
+                    label, every = local_components(len(keys) + len(other), i, j + len(keys)), np.r_[keys, other]
                 some = links > 0
                 if some.any():
-                    yield pa.RecordBatch.from_pydict({"vec_id": all_ids[some], "links": links[some], "with": all_ids[label][some]})
+                    yield pa.RecordBatch.from_pydict({"key": every[some], "links": links[some], "with": every[label][some]})
 
     return run
 
@@ -182,31 +225,30 @@ def meet(axes: dict[int, np.ndarray], threshold: float):
 def embedding_near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     """Links between vectors of one label with cosine >= threshold, as one row for each vector.
 
-    Rows (vec_id, n_links, component_id, kept) for each row of vectors(vec_id, embedding, label). Vectors
-    that are null, empty or zero, or hold null or non-finite components, and vectors with a null label or
-    vec_id, have no links and are their own class. Vectors of different lengths are not compared. vec_id is
-    unique. Other columns are not looked at; an empty table gives no rows.
+    Rows (vec_id, n_links, component_id, kept) for each row of vectors(vec_id, embedding, label), whatever their
+    order. Vectors that are null, empty or zero, or hold null or non-finite components, and vectors with a null
+    label or vec_id, have no links and are their own class. Vectors of different lengths are not compared. Rows
+    that repeat a vec_id are vectors of their own: each has its row, links with its namesakes count, and a
+    class is named by the smallest vec_id in it. Labels of any type are compared as they are. Other columns are not
+    looked at; an empty table gives no rows. A null vec_id has a null component_id and is kept.
     """
     scratch = Scratch(spark, "embeddings")
-    usable = scratch.save(packed_vectors(vectors), "vectors")
-    ones = usable.groupBy("label", "dim", "v").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n"))
-    ones = scratch.save(ones.select("vec_id", "n", "label", "dim", "v"), "ones")
+    given = scratch.save(packed_vectors(vectors), "vectors")
+    ones = given.filter("v IS NOT NULL").groupBy("label", "dim", "v").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n"))
+    ones = scratch.save(ones.withColumn("key", F.monotonically_increasing_id()), "ones")  # the written key stays
     axes = principal_axes(ones)
-    cut = scratch.save(tiles(ones, axes), "tiles")
-    near = float(np.sqrt(2 - 2 * threshold)) + 1e-9  # largest distance of unit vectors that reach the threshold
-    place = cut.select("label", "dim", "tile", "centre", "radius")
-    other = place.select("label", "dim", F.col("tile").alias("tile2"), F.col("centre").alias("centre2"), F.col("radius").alias("radius2"))
-    apart = F.sqrt(F.aggregate(F.zip_with("centre", "centre2", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    pairs = place.join(other, ["label", "dim"]).filter("tile <= tile2").filter(apart - F.col("radius") - F.col("radius2") <= near).select("label", "dim", "tile", "tile2")
-    first = cut.select("tile", "label", "dim", "ids", "n", "v")
-    second = cut.select(F.col("tile").alias("tile2"), "label", "dim", F.col("ids").alias("others"), F.col("n").alias("m"), F.col("v").alias("w"))
-    both = pairs.join(first, ["label", "dim", "tile"]).join(second, ["label", "dim", "tile2"])
-    found = scratch.save(both.repartition("tile", "tile2").mapInArrow(meet(axes, threshold), "vec_id long, links long, with long"), "links")
-    label = components(spark, scratch, found.selectExpr("vec_id AS a", "with AS b"))
-    links = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
-    ones = ones.join(links, "vec_id", "left").join(label.withColumnRenamed("node", "vec_id"), "vec_id", "left")
-    ones = ones.select("label", "dim", "v", F.col("n") - 1 + F.coalesce("links", F.lit(0)), F.coalesce("component", "vec_id")).toDF("label", "dim", "v", "n_links", "class")
-    known = usable.join(ones, ["label", "dim", "v"]).select("vec_id", "n_links", "class")
-    out = vectors.select(F.col("vec_id").cast("long")).join(known, "vec_id", "left")
+    near = float(np.sqrt(max(2 - 2 * threshold, 0.0))) + 1e-6  # largest distance of unit vectors that reach the threshold
+    cut = scratch.save(tiles(ones.select("key", "n", "label", "dim", "v"), axes, near), "tiles")
+    first = cut.select("tile", "label", "dim", "keys", "n", "v")
+    second = cut.select(F.col("tile").alias("tile2"), "label", "dim", F.col("keys").alias("others"), F.col("n").alias("m"), F.col("v").alias("w"))
+    both = tile_pairs(cut, near).join(first, ["label", "dim", "tile"]).join(second, ["label", "dim", "tile2"])
+    found = scratch.save(both.repartition("tile", "tile2").mapInArrow(meet(axes, threshold), "key long, links long, with long"), "links")
+    scratch.drop("tiles")
+    label = components(spark, scratch, found.selectExpr("key AS a", "with AS b")).withColumnRenamed("node", "key")
+    links = found.groupBy("key").agg(F.sum("links").alias("links"))
+    ones = ones.join(links, "key", "left").join(label, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    least = ones.groupBy("component").agg(F.min("vec_id").alias("class"))
+    ones = ones.join(least, "component").select("label", "dim", "v", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "class")
+    out = given.join(ones, ["label", "dim", "v"], "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("class", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

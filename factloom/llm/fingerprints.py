@@ -15,11 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, in_ranges
 
 SPACE = r"[\x20\x09-\x0D]+"
-#: Documents with neighbouring ids in a bucket, as a bound if ids are dense.
-BUCKET = 4096
+#: Documents with neighbouring ids in a bucket, about.
+BUCKET = 512
 #: Trailing bits of a sample that name the pair.
 NAME = 32
 #: A document's sample lies beyond its bound with probability e^-SURE.
@@ -69,21 +69,19 @@ def sample(term: Column, weight: Column, share: Column, seed: int) -> Column:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """Adds next_id and next_text: the row with the next larger doc_id, after the last one the first; and row, its number in its bucket.
-
-    Ids are cut into ranges of about ``BUCKET`` documents, exactly bounded if ids are dense. A range's last
-    row takes the first row of the next range, which a table with one row for each range tells."""
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    width = max(BUCKET, -(-(high - low + 1) * BUCKET // n)) if n else BUCKET
-    docs = docs.withColumn("bucket", F.expr(f"(doc_id - {low or 0}) div {width}"))
-    heads = docs.groupBy("bucket").agg(F.min("doc_id").alias("head"))
-    by = Window.orderBy("bucket")
+    """Adds next_id and next_text: the row with the next larger doc_id, after the last one the first; and bucket and row, which identify a row.
+
+    Ids are cut into ranges of about ``BUCKET`` documents. A range's last row takes the first row of the next
+    range, which a table with one row for each range tells; there are at most 131,072 ranges."""
+    n = docs.count()
+    docs = in_ranges(docs.withColumn("h", F.xxhash64("text")), "doc_id", -(-n // BUCKET))
+    heads = docs.groupBy("bucket").agg(F.min(F.struct("doc_id", "h")).alias("head"))
+    by = Window.orderBy("bucket")  # one row for each range
     first = F.first("head").over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    heads = heads.select("bucket", F.coalesce(F.lead("head").over(by), first).alias("head"))
-    small = (n // BUCKET) <= 100_000
-    texts = docs.select(F.col("doc_id").alias("head"), "text").join(F.broadcast(heads) if small else heads, "head")
+    heads = heads.select("bucket", F.coalesce(F.lead("head").over(by), first).alias("head")).select("bucket", F.col("head.doc_id").alias("head"), F.col("head.h").alias("head_h"))
+    texts = docs.select(F.col("doc_id").alias("head"), F.col("h").alias("head_h"), "text").join(F.broadcast(heads), ["head", "head_h"])
     texts = texts.groupBy("bucket", "head").agg(F.min("text").alias("head_text"))
-    inside = Window.partitionBy("bucket").orderBy("doc_id", F.xxhash64("text"))
+    inside = Window.partitionBy("bucket").orderBy("doc_id", "h")
     rows = docs.select("bucket", "doc_id", "text", F.lead("doc_id").over(inside).alias("n_id"), F.lead("text").over(inside).alias("n_text"), F.row_number().over(inside).alias("row"))
     last = F.col("n_id").isNull()
     return rows.join(texts, "bucket", "left").select("bucket", "row", "doc_id", "text", F.when(last, F.col("head")).otherwise(F.col("n_id")).alias("next_id"), F.when(last, F.col("head_text")).otherwise(F.col("n_text")).alias("next_text"))
@@ -115,7 +113,7 @@ def document_fingerprints(spark: SparkSession, docs: DataFrame, samples: int = 3
     """Fingerprints of documents and of an edited copy of each.
 
     Rows (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for each
-    row with a doc_id. In the edited text the last half of the code points (rounded down) gives way to as
+    row with a doc_id, equal rows included. doc_ids may be any 64-bit numbers. In the edited text the last half of the code points (rounded down) gives way to as
     many of the next document's first ones, in ascending doc_id; the last document takes the first one. A
     null text counts as empty; texts without words are alike. Rows that repeat a doc_id follow each other
     in the order of a hash of their texts, and such a doc_id is compared by its smallest fingerprint.

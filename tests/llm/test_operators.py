@@ -348,3 +348,76 @@ def test_pipeline_selects_rows_not_ids(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     got = collections.Counter(r["doc_id"] for r in p.run(spark, str(tmp_path)).collect())
     assert set(got) == {3, 5, 6, None}
+
+
+def test_fingerprints_of_any_ids(spark):
+    """Ids at both ends of the range, and one that lies far from the others."""
+    ids = [-(2**63), 2**63 - 1, 0, *range(2**62, 2**62 + 40), 5, 5]
+    rows = [(i, prose(random.Random(k), 9)) for k, i in enumerate(ids)]
+    got = fingerprints.document_fingerprints(spark, spark.createDataFrame(rows, "doc_id long, text string"), samples=4).collect()
+    order = sorted(rows)
+    following = {t: order[(k + 1) % len(order)][1] for k, (i, t) in enumerate(order) if i != 5 and order[k - 1][0] != 5 and order[(k + 1) % len(order)][0] != 5}
+    want = {hashlib.sha256((t[: len(t) - len(t) // 2] + n[: len(t) // 2]).encode()).hexdigest() for t, n in following.items()}
+    assert sorted(r["doc_id"] for r in got) == sorted(ids) and want <= {r["edited_sha256"] for r in got}
+
+
+def test_ranges_of_ids_keep_their_order(spark, monkeypatch):
+    from factloom.llm.common import in_ranges
+
+    ids = [-(2**63), 2**63 - 1, *range(2**62, 2**62 + 3000)]
+    rows = in_ranges(spark.createDataFrame([(i,) for i in ids], "doc_id long"), "doc_id", 1024).collect()
+    buckets = [b for _, b in sorted((r["doc_id"], r["bucket"]) for r in rows)]
+    assert buckets == sorted(buckets) and max(collections.Counter(buckets).values()) < 200 and len(rows) == len(ids)
+
+
+def test_embeddings_of_repeated_ids_and_any_labels(spark):
+    a, b, c = [1.0, 0.0, 0.0], [1.0, 0.01, 0.0], [0.0, 0.0, 1.0]
+    rows = [(7, a, "x"), (7, b, "x"), (9, a, "y"), (3, b, "x"), (7, a, "x"), (9, c, "x"), (None, a, "x"), (1, None, "x")]
+    got = embedding_dedup.embedding_near_duplicates(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(7, 3, 3, False), (7, 3, 3, False), (9, 0, 9, True), (3, 3, 3, True), (7, 3, 3, False), (9, 0, 9, True), (None, 0, None, True), (1, 0, 1, True)], key=str)
+    parts = spark.createDataFrame([(1, a, 1.5), (2, a, 1.25), (3, a, -0.0), (4, a, 0.0)], "vec_id long, embedding array<float>, label double")
+    assert {r["vec_id"]: r["component_id"] for r in embedding_dedup.embedding_near_duplicates(spark, parts).collect()} == {1: 1, 2: 2, 3: 3, 4: 3}
+
+
+def test_embedding_tiles_equal_brute_force(spark, monkeypatch):
+    """Many small tiles over several cells lose no link."""
+    monkeypatch.setattr(embedding_dedup, "TILE", 8)
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(40, 6))
+    v = np.concatenate([base + rng.normal(scale=0.08, size=base.shape) for _ in range(12)])
+    table = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.embedding_near_duplicates(spark, table).collect()}
+    unit = v / np.sqrt((v * v).sum(axis=1, keepdims=True))
+    links = (unit @ unit.T >= 0.98).sum(axis=1) - 1
+    assert got == dict(enumerate(links.tolist())) and links.sum() > 500
+
+
+def test_local_search_gets_below_best_fit():
+    """Lengths at which best fit misses the bound: search empties bins, loses no piece, and keeps the capacity."""
+    for low, high, most in ((500, 2000, 0.99), (900, 1600, 0.98), (1200, 2600, 0.999)):
+        lengths = np.random.default_rng(0).integers(low, high + 1, 2000).tolist()
+        first, got = packing.best_fit(lengths, 4096), packing.pack_lengths(lengths, 4096)
+        assert packing.bins_needed(lengths, 4096) <= len(got) <= most * len(first)
+        assert sorted(i for b in got for i in b) == list(range(2000)) and all(sum(lengths[i] for i in b) <= 4096 for b in got)
+    alone = np.random.default_rng(0).integers(2100, 3500, 500).tolist()
+    assert packing.bins_needed(alone, 4096) == len(packing.pack_lengths(alone, 4096)) == 500
+
+
+def test_packing_rounds_empty_sequences(spark, monkeypatch):
+    """Shards of few long pieces: later rounds join what is left in each, and no piece is lost."""
+    monkeypatch.setattr(packing, "SHARD", 60)
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, "a " * rng.randint(20, 140)) for i in range(400)], "doc_id long, text string")
+    got = packing.best_fit_packing(spark, docs, capacity=200).collect()
+    fill = collections.Counter()
+    for r in got:
+        fill[r["sequence_id"]] += r["length"]
+    assert len(got) == 400 and max(fill.values()) <= 200 and len(fill) <= 1.03 * sum(fill.values()) / 200
+
+
+def test_url_filters_of_repeated_and_extra_columns(spark):
+    entries = spark.createDataFrame([("url", "a.org/v1./", "add", "2024-01-01", 1), ("url", "a.org", "add", "2024-01-01", 1)], "kind string, pattern string, action string, dated string, path string").withColumn("dated", F.to_date("dated"))
+    urls = ["http://a.org/v1./x", "http://a.org/v1/x", "http://a.org/" + "x/" * 20000, "http://a.org//v1."]
+    captures = spark.createDataFrame([(1, u, "2024-02-01", "h", "p") for u in [*urls, urls[0]]], "capture_id long, url string, fetched_at string, host string, path string").withColumn("fetched_at", F.to_date("fetched_at"))
+    got = url_filters.temporal_list_join(captures, entries).collect()
+    assert sorted(r["n_active"] for r in got) == [1, 1, 1, 2] and {r["capture_id"] for r in got} == {1}
