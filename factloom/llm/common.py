@@ -77,6 +77,34 @@ class WordHash(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=U64, count=len(words))
 
 
+class WordPairs(dict):
+    """Two independent 64-bit hashes of words by their bytes. The dictionary numbers the words, two tables hold the hashes;
+    all are forgotten at ``LIMIT`` words or ``BYTES`` bytes of words, so memory is bounded."""
+
+    LIMIT, BYTES, PART = 300_000, 64_000_000, 100_000
+
+    def __init__(self) -> None:
+        self.held, self.tables = 0, np.zeros((2, self.LIMIT + self.PART), U64)
+
+    def __missing__(self, word: bytes) -> int:
+        digest = xxhash.xxh3_128_intdigest(word)
+        n = self[word] = len(self)
+        self.tables[0, n], self.tables[1, n] = digest & 0xFFFFFFFFFFFFFFFF, digest >> 64
+        self.held += len(word)
+        return n
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        """Array of two rows of hashes. Words are looked up in parts, so that the tables have room for the new ones of each."""
+        out = np.empty((2, len(words)), U64)
+        for i in range(0, len(words), self.PART):
+            if len(self) > self.LIMIT or self.held > self.BYTES:
+                self.clear()
+                self.held = 0
+            part = words[i : i + self.PART]
+            out[:, i : i + len(part)] = self.tables[:, np.fromiter(map(self.__getitem__, part), dtype=np.int64, count=len(part))]
+        return out
+
+
 def byte_texts(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column without decoding it."""
     return pc.cast(column, pa.binary()).to_pylist()

@@ -68,6 +68,15 @@ def sample(term: Column, weight: Column, share: Column, seed: int) -> Column:
     return F.when((1.0 - u) * q < SURE * share, F.shiftleft(order, NAME).bitwiseOR(name))
 
 
+def texts_of(docs: DataFrame) -> DataFrame:
+    return docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def edited_text() -> Column:
+    """The text, its last half of code points replaced by the first ones of the next text."""
+    return F.concat(F.expr("substring(text, 1, length(text) - length(text) div 2)"), F.expr("substring(next_text, 1, int(length(text) div 2))"))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """Adds next_id and next_text: the row with the next larger doc_id, after the last one the first; and bucket and row, which identify a row.
 
@@ -120,9 +129,7 @@ def document_fingerprints(spark: SparkSession, docs: DataFrame, samples: int = 3
     Columns other than doc_id and text are not looked at.
     """
     scratch = Scratch(spark, "fingerprints")
-    docs = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    edited = F.concat(F.expr("substring(text, 1, length(text) - length(text) div 2)"), F.expr("substring(next_text, 1, int(length(text) div 2))"))
-    texts = with_next(docs).select("bucket", "row", "doc_id", "next_id", F.length("text").cast("long").alias("n_chars"), "text", edited.alias("edited"))
+    texts = with_next(texts_of(docs)).select("bucket", "row", "doc_id", "next_id", F.length("text").cast("long").alias("n_chars"), "text", edited_text().alias("edited"))
     texts = texts.withColumn("edited_sha256", F.sha2("edited", 256))
     rows = scratch.save(signatures(texts, ["bucket", "row", "doc_id", "next_id", "n_chars", "edited_sha256"], ["text", "edited"], samples), "signatures")
     other = rows.groupBy("doc_id").agg(F.min("names0").alias("next_names")).withColumnRenamed("doc_id", "next_id")

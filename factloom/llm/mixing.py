@@ -119,6 +119,15 @@ def copies(scratch: Scratch, cells: DataFrame, solution: DataFrame, most: int) -
     return rated.select("source", "size", F.when(F.col("missing") > 0, F.col("copies") + change).otherwise(F.col("copies") - change).alias("copies"))
 
 
+def sized_documents(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.col("doc_id"), F.lit(7)).alias("u"))
+
+
+def source_targets(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: float = 1.5, most: int = 2) -> DataFrame:
+    """Rows (source, source_size, weight, target) of the sources of docs."""
+    return targets(sized_documents(docs).groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, float(most))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: float = 1.5, most: int = 2) -> DataFrame:
     """Copies of each document so that sources reach target shares of words.
 
@@ -131,8 +140,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] =
     is read whole. An empty table gives no rows. Other columns are not looked at.
     """
     scratch = Scratch(spark, "mixing")
-    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.col("doc_id"), F.lit(7)).alias("u"))
-    sized = scratch.save(sized, "sized")
+    sized = scratch.save(sized_documents(docs), "sized")
     cells = scratch.save(sized.groupBy("source", "size").agg(F.count("*").alias("docs")), "cells")
     sources = cells.groupBy("source").agg(F.sum(F.col("size") * F.col("docs")).alias("source_size"))
     goals = scratch.save(targets(sources, weights, budget, float(most)), "goals")

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from .common import read
 from .embedding_dedup import embedding_near_duplicates
-from .fingerprints import document_fingerprints
+from .fingerprints import document_fingerprints, edited_text, texts_of, with_next
 from .language_id import identify_languages
-from .mixing import mix_sources
+from .mixing import mix_sources, source_targets
 from .ngram_jaccard import ngram_jaccard_classes
 from .packing import best_fit_packing
 from .quality import quality_model, rate_documents
@@ -79,11 +79,23 @@ def op10_document_fingerprints(spark, sf_dir):
     return document_fingerprints(spark, read(spark, sf_dir, "documents"), samples=32)
 
 
+def mixing_targets(spark, sf_dir):
+    """The targets of op7's sources alone, in whole thousandths of a word."""
+    goals = source_targets(read(spark, sf_dir, "documents"), weights=(3, 1, 2), budget=1.5, most=2)
+    return goals.select("source", "source_size", F.round(F.col("target") * 1000).cast("long").alias("target_thousandths"))
+
+
+def edited_texts(spark, sf_dir):
+    """What op10 fingerprints besides the texts themselves: its columns without samples."""
+    docs = with_next(texts_of(read(spark, sf_dir, "documents")))
+    return docs.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(edited_text(), 256).alias("edited_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_ngram_jaccard, op2_language_id, op3_best_fit_packing, op4_url_filters, op5_token_counts, op6_embedding_dedup,
-        op7_mix_sources, op8_quality_classifier, op9_substring_dedup, op10_document_fingerprints,
+        op7_mix_sources, op8_quality_classifier, op9_substring_dedup, op10_document_fingerprints, mixing_targets, edited_texts,
     )
 }
 ORACLES: dict[str, str] = {
@@ -113,5 +125,50 @@ hits AS (
        ELSE starts_with(c.host || c.path || '/', v.pattern || '/') END))
 SELECT c.page_id, c.host, count(h.pattern) AS n_active, count(h.pattern) > 0 AS blocked
 FROM captures c LEFT JOIN hits h ON c.page_id = h.page_id AND c.url = h.url GROUP BY c.page_id, c.url, c.fetched_at, c.host
+""",
+    "op1_ngram_jaccard": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+sizes AS (SELECT d.doc_id, count(s) AS n FROM d LEFT JOIN shingles USING (doc_id) GROUP BY d.doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * common.n >= 80 * (p.n + q.n - common.n)),
+reach AS (SELECT doc_id, doc_id AS low FROM d UNION SELECT y, low FROM reach JOIN links ON x = doc_id WHERE low < y)
+SELECT doc_id, n AS n_shingles, low AS component_id FROM sizes JOIN (SELECT doc_id, min(low) AS low FROM reach GROUP BY doc_id) USING (doc_id)
+""",
+    "op6_embedding_dedup": r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT vec_id, vec_id AS low FROM embeddings UNION SELECT y, low FROM reach JOIN links ON x = vec_id WHERE low < y),
+classes AS (SELECT vec_id, min(low) AS component_id FROM reach GROUP BY vec_id),
+counts AS (SELECT x AS vec_id, count(*) AS n FROM links GROUP BY x)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN classes USING (vec_id) LEFT JOIN counts USING (vec_id)
+""",
+    "op9_substring_dedup": r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+first AS (SELECT s, min(doc_id) AS low FROM windows GROUP BY s),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM windows JOIN first USING (s) WHERE doc_id > low),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+""",
+    "mixing_targets": r"""
+WITH sized AS (SELECT source, CAST(sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) AS BIGINT) AS source_size FROM documents GROUP BY source),
+weighed AS (SELECT *, [3.0, 1.0, 2.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight FROM sized),
+levels AS (
+  SELECT *, (1.5 * sum(source_size) OVER () - coalesce(sum(2.0 * source_size) OVER (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(weight) OVER (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed),
+settled AS (SELECT *, 2.0 * source_size < weight * level AS capped FROM levels),
+flat AS (SELECT arg_min(level, source_size / weight) AS level FROM settled WHERE NOT capped)
+SELECT source, source_size, CAST(round(1000 * CASE WHEN capped THEN 2.0 * source_size ELSE least(2.0 * source_size, weight * (SELECT level FROM flat)) END) AS BIGINT) AS target_thousandths FROM settled
+""",
+    "edited_texts": r"""
+SELECT doc_id, length(t) AS n_chars, sha256(substring(t, 1, length(t) - length(t) // 2) || substring(n, 1, length(t) // 2)) AS edited_sha256
+FROM (SELECT doc_id, coalesce(text, '') AS t, coalesce(lead(coalesce(text, '')) OVER w, first(coalesce(text, '')) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS n
+      FROM documents WINDOW w AS (ORDER BY doc_id))
 """,
 }

@@ -1,12 +1,15 @@
 import collections
 import hashlib
 import itertools
+import pickle
 import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from factloom.llm import embedding_dedup, fingerprints, language_id, mixing, ngram_jaccard, packing, quality, substring_dedup, tokens, url_filters
@@ -117,15 +120,63 @@ def test_substring_dedup_equals_brute_force(spark):
 
 
 def test_substring_dedup_in_batches_equals_one_batch(spark, monkeypatch):
+    """Batches with compaction, that share chunks, give what one batch gives, and reread only chunks of new matches."""
     monkeypatch.setattr(substring_dedup, "RUNS", 2)
     texts = corpus()
     docs, index, got = frame(spark, texts), substring_dedup.FingerprintIndex(spark, Scratch(spark, "t")), {}
-    for a, b in ((0, 90), (90, 200), (200, 250), (250, 10**6)):
-        batch, before = docs.filter((F.col("doc_id") >= a) & (F.col("doc_id") < b)), docs.filter(F.col("doc_id") < a)
-        for r in substring_dedup.substring_dedup(spark, batch, history=before, index=index).collect():
+    for a, b in ((0, 90), (90, 200), (200, 250), (250, 300), (300, 10**6)):
+        for r in substring_dedup.substring_dedup(spark, docs.filter((F.col("doc_id") >= a) & (F.col("doc_id") < b)), index=index).collect():
             got[r["doc_id"]] = (r["n_words"], r["n_removed"], r["kept_sha256"])
     assert got == removed(texts)
-    assert len(index.runs) <= 2
+    assert index.compactions == 2 and len(index.fingerprints) <= 2 and len(index.windows) <= 2
+
+
+def test_substring_dedup_reads_no_history_for_known_passages(spark):
+    rng = random.Random(1)
+    passage, index = prose(rng, 30), substring_dedup.FingerprintIndex(spark, Scratch(spark, "t"))
+    again = []
+    for k in range(4):
+        rows = [(k * 1000 + i, f"{prose(rng, 30)} {passage} {prose(rng, 30)}") for i in range(200)]
+        got = substring_dedup.substring_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), index=index).collect()
+        assert all(r["n_removed"] >= 30 for r in got if r["doc_id"])
+        again.append(spark.read.parquet(f"{index.scratch.path}/fingerprints{k}").filter("kind = 'past'").count())
+    assert again[0] == 0 and 20 > again[1] >= again[3]  # but for sequences at the passage's ends, which are the smallest of a window now and then
+
+
+def test_substring_dedup_verifies_windows(monkeypatch):
+    """Words whose first hashes agree do not make windows equal."""
+    real = substring_dedup.WordPairs.__missing__
+
+    def alike(self, word):
+        n = real(self, word)
+        if word.startswith(b"same"):
+            self.tables[0, n] = 7
+        return n
+
+    monkeypatch.setattr(substring_dedup.WordPairs, "__missing__", alike)
+    words_ = prose(random.Random(2), 20).split()
+    texts = [" ".join([*words_[:9], w, *words_[10:]]) for w in ("same1", "same2", "same1", "other")]
+    pairs = substring_dedup.WordPairs()
+    hashes = [pairs.of(t.encode().split()) for t in texts]
+    a, b = ([substring_dedup.window_hashes(h[k], 13).tolist() for h in hashes] for k in (0, 1))
+    assert a[0] == a[1] and b[0] != b[1] and (a[0], b[0]) == (a[2], b[2])
+    substring_dedup.word_pairs.cache_clear()
+    numbers = np.unique(substring_dedup.number_of(np.concatenate([substring_dedup.fingerprints_of(h[0], 13)[0] for h in hashes]), 1)).tobytes()
+    flags = pa.table({"kind": ["flag"], "own": [0], "f": pa.array([numbers], pa.binary())})
+    out = []
+    for i, t in enumerate(texts):
+        blob = zstandard.ZstdCompressor().compress(pickle.dumps(([i * 64], [t.encode()], [])))
+        out.append(substring_dedup.propose(13, 1)(pa.table({"chunk": [i], "blob": [blob], "fresh": [True]}), flags.set_column(1, "own", pa.array([i]))))
+    late = substring_dedup.settle(False)(pa.concat_tables(out)).to_pylist()
+    assert {r["at"]: sorted(np.frombuffer(r["places"], np.uint32).tolist()) for r in late if r["part"] == 0} == {2: list(range(8))}
+
+
+def test_substring_dedup_of_repeated_ids_and_wide_ids(spark):
+    rng = random.Random(6)
+    a, b, c = (prose(rng, 20) for _ in range(3))
+    rows = [(5, a, 1), (5, a, 2), (5, b, 3), (-(2**63), c, 4), (2**63 - 1, f"{a} {c}", 5), (None, a, 6), (6, b, 7), (6, None, 8)]
+    got = substring_dedup.substring_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string, chunk int"), carry=("chunk",)).collect()
+    assert {r["chunk"]: (r["n_words"], r["n_removed"]) for r in got} == {1: (20, 0), 2: (20, 0), 3: (20, 0), 4: (20, 0), 5: (40, 40), 7: (20, 20), 8: (0, 0)}
 
 
 def test_packing_round_trip(spark):
