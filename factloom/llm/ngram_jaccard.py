@@ -5,15 +5,19 @@ A document's set holds its distinct word shingles. The join takes three steps.
 *Index.* Every set is ordered by one global order, rare shingles first, and only its prefix enters the
 index: two sets with Jaccard similarity t share a shingle in prefixes of ``n - ceil(t n) + 1``. Sets
 with the same shingles are put together first, so copies cost nothing more. The index lists are dealt
-out in packed buckets. A list's entries are ordered by (set size, position); the sweep over a bucket's short
-lists stops when no pair passes the size bound, and positions bound the pairs that were formed.
+out in packed buckets, and a list's entries are ordered by (set size, position). A short list is swept by distance in
+that order until no pair passes the size bound; what positions rule out is dropped. A long list is cut
+into blocks of neighbouring sizes and positions, and pairs of blocks that can reach the overlap by neither are skipped whole.
 
 *Candidates.* Short lists give pairs, whose common prefix shingles are added up and bounded. Long lists,
-as near copies by the thousand make them, give no pairs: all members meet at one representative.
-
-*Answers.* The sets that meet are compared in bounded blocks. If they resemble the representative, each
-overlap is derived from the overlaps with the representative, which are known, and from the few
-shingles in which the two sets differ from it; only the differences are multiplied out.
+as near copies by the thousand make them, give no pairs: of the blocks that remain connected, all members meet at
+one representative.
+
+*Answers.* The sets that meet are compared in bounded blocks, each with the group's representative. If they resemble
+it, each overlap is derived from the overlaps with the representative, which are known, and from the few
+shingles in which the two sets differ from it; only the differences are multiplied out. Sets that the
+representative's class takes in need no further answers, so a group of near copies takes work in proportion to
+its members; only sets outside that class then meet the group's other blocks.
 """
 
 from __future__ import annotations
@@ -32,8 +36,10 @@ from .common import U64, Scratch, WordHash, bucket_of, components, joined, local
 FREQUENT = 100_000
 #: Shingles of documents counted together; those that occur in two documents there are added up over all.
 COUNTED = 4_000_000
-#: Longest index list whose pairs are listed; longer ones go by a representative.
+#: Longest index list whose pairs are listed; longer ones are skipped in blocks and go by a representative. Results don't depend on it.
 SHORT_LIST = 32
+#: Blocks of a long list at most.
+LIST_BLOCKS = 1_024
 #: Sets and shingles in one block of sets that are compared with each other.
 BLOCK_SETS, BLOCK_SHINGLES = 1_000, 4_000_000
 #: Most rows of document ids that are broadcast; beyond that the join is a shuffle.
@@ -135,6 +141,31 @@ def rank_of(docs: np.ndarray) -> np.ndarray:
     return mix(docs.astype(np.int64).view(U64))
 
 
+def connected_blocks(n: np.ndarray, p: np.ndarray, percent: int) -> np.ndarray:
+    """For entries of one list in the order of (size, position): the number of the group of blocks that each is in.
+
+    A block holds neighbouring entries. Two blocks are skipped if the smallest size of one is too small for the largest
+    of the other, or if the shingles before and from the common one cannot add up to the overlap that the smallest sizes need."""
+    cut = np.flatnonzero(np.r_[True, (n[1:] != n[:-1]) | (p[1:] != p[:-1])])
+    if len(cut) > LIST_BLOCKS:
+        cut = cut[np.arange(LIST_BLOCKS) * len(cut) // LIST_BLOCKS]
+    ends = np.r_[cut[1:], len(n)]
+    low, high = n[cut], n[ends - 1]
+    far = np.maximum.reduceat(p, cut)
+    after = np.maximum.reduceat(n - p, cut)
+    most = np.minimum(far[:, None], far[None, :]) + np.minimum(after[:, None], after[None, :])
+    meets = (most >= least_overlap(low[:, None], low[None, :], percent)) & (100 * high[None, :] >= percent * low[:, None]) & (100 * high[:, None] >= percent * low[None, :])
+    label, left = np.full(len(cut), -1), np.ones(len(cut), bool)
+    for k in range(len(cut)):
+        if left[k]:
+            front = np.zeros(len(cut), bool)
+            front[k] = True
+            while front.any():
+                label[front], left[front] = k, False
+                front = left & meets[front].any(axis=0)
+    return np.repeat(label, ends - cut)
+
+
 def list_candidates(percent: int):
     """For one bucket: pairs of short lists with their number of common prefix shingles, and (representative, member) of long lists, as pairs with n = 0."""
 
@@ -167,14 +198,17 @@ def list_candidates(percent: int):
         swap = pairs[0] > pairs[1]
         pairs[:, swap] = pairs[:, swap][[1, 0, 3, 2]]
         pairs, count = np.unique(pairs, axis=1, return_counts=True) if pairs.shape[1] else (pairs, np.zeros(0, np.int64))
-        keep = of_list > SHORT_LIST
-        if keep.any():
-            d, n = docs[keep], sizes[keep]
-            own = np.repeat(np.arange(len(length)), length)[keep]
+        found = [pairs]
+        for start, m in zip(starts[length > SHORT_LIST].tolist(), length[length > SHORT_LIST].tolist(), strict=True):
+            d, n, p = docs[start : start + m], sizes[start : start + m], places[start : start + m]
+            own = connected_blocks(n, p, percent)
             first = np.lexsort((rank_of(d), own))
             lead = first[np.flatnonzero(np.r_[True, own[first][1:] != own[first][:-1]])]
             at = np.searchsorted(own[lead], own)
-            long = np.unique(np.stack([d[lead][at], d, n[lead][at], n]), axis=1)
+            other = d[lead][at] != d
+            found.append(np.stack([d[lead][at], d, n[lead][at], n])[:, other])
+        if len(found) > 1:
+            long = np.unique(np.concatenate(found[1:], axis=1), axis=1)
             pairs, count = np.concatenate([pairs, long], axis=1), np.r_[count, np.zeros(long.shape[1], np.int64)]
         return pa.table({"x": pairs[0], "y": pairs[1], "nx": pairs[2], "ny": pairs[3], "n": count.astype(np.int64)})
 
@@ -255,24 +289,48 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def compare(percent: int):
-    """For the sets that meet under one key: links that connect each class of them, as (set, smallest set of its class)."""
+def compare(percent: int, first: bool):
+    """For the sets that meet in one block: links (a, b) that connect each class of them, with key 0; in the first turn of
+    a group of several blocks also (key, a) with a null b for each set outside the class of the group's representative."""
 
     def links(table: pa.Table) -> pa.Table:
-        docs, first = np.unique(table.column("doc_id").to_numpy(), return_index=True)
+        docs, at = np.unique(table.column("doc_id").to_numpy(), return_index=True)
         packed_sets = table.column("shingles").to_pylist()
-        sets = [np.frombuffer(packed_sets[i], U64) for i in first.tolist()]
-        if len(docs) < 2:
-            return pa.table({"a": docs[:0], "b": docs[:0]})
-        o, n = overlaps(sets).astype(np.float64), np.array([len(s) for s in sets], dtype=np.float64)
-        i, j = np.nonzero(np.triu(100 * o >= percent * (n[:, None] + n[None, :] - o), 1))
-        label = local_components(len(docs), i, j)
+        sets = [np.frombuffer(packed_sets[i], U64) for i in at.tolist()]
+        label = np.arange(len(docs))
+        if len(docs) > 1:
+            o, n = overlaps(sets).astype(np.float64), np.array([len(s) for s in sets], dtype=np.float64)
+            i, j = np.nonzero(np.triu(100 * o >= percent * (n[:, None] + n[None, :] - o), 1))
+            label = local_components(len(docs), i, j)
         moved = label != np.arange(len(docs))
-        return pa.table({"a": docs[moved], "b": docs[label[moved]]})
+        a, b = docs[moved], docs[label[moved]]
+        out = pa.table({"key": np.zeros(len(a), np.int64), "a": a, "b": b})
+        if first and table.column("blocks")[0].as_py() > 1:
+            lead = np.searchsorted(docs, table.column("lead")[0].as_py())
+            rest = docs[label != label[lead]]
+            out = pa.concat_tables([out, pa.table({"key": np.full(len(rest), table.column("key")[0].as_py()), "a": rest, "b": pa.nulls(len(rest), pa.int64())})])
+        return out
 
     return links
 
 
+def fetched_sets(docs: DataFrame, needed: DataFrame, k: int) -> DataFrame:
+    """needed(doc_id, key, p, q, lead, blocks) with the shingles of each document, made once for each document from its text."""
+    columns = ["key", "p", "q", "lead", "blocks"]
+    small = needed.select("doc_id").distinct().count() <= BROADCAST_ROWS
+    wanted = needed.groupBy("doc_id").agg(F.collect_list(F.struct(*columns)).alias("at"))
+    texts = docs.join(F.broadcast(wanted) if small else wanted, "doc_id")
+
+    def to_sets(batches):
+        words = WordHash()
+        for batch, texts in texts_in_parts(batches):
+            packed_sets = pa.array([s.tobytes() for s in shingle_sets(texts, words, k)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("at"), packed_sets], ["doc_id", "at", "shingles"])
+
+    full = texts.select("doc_id", "at", "text").mapInArrow(to_sets, "doc_id long, at array<struct<key: long, p: int, q: int, lead: long, blocks: int>>, shingles binary")
+    return full.select("doc_id", "shingles", F.explode("at").alias("at")).select("doc_id", "shingles", "at.*")
+
+
 def ngram_jaccard_classes(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Classes of documents linked by Jaccard similarity of their word shingles: (doc_id, n_shingles, component_id).
 
@@ -306,26 +364,29 @@ def ngram_jaccard_classes(spark: SparkSession, docs: DataFrame, k: int = 5, perc
     meets = found.filter("n = 0").select("x", "y", "nx", "ny").union(common_leaders(one)).distinct()
     led = meets.selectExpr("-x - 1 AS key", "y AS doc_id", "ny AS n").union(meets.selectExpr("-x - 1 AS key", "x AS doc_id", "nx AS n"))
     members = scratch.save(keyed.union(led).distinct(), "members")
-    size = members.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("t")).filter("m > 1")
-    size = size.selectExpr("key", f"int(ceil(greatest(m / {BLOCK_SETS}, t / {BLOCK_SHINGLES}))) AS blocks")
+    size = members.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("t"), F.min("doc_id").alias("lead")).filter("m > 1")
+    size = size.selectExpr("key", "lead", f"int(ceil(greatest(m / {BLOCK_SETS}, t / {BLOCK_SHINGLES}))) AS blocks")
     spread = members.join(size, "key").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    needed = scratch.save(
-        spread.select("doc_id", "key", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least(b, F.col("own")).alias("p"), F.greatest(b, F.col("own")).alias("q")))).alias("b"))
-        .select("doc_id", "key", "b.p", "b.q"), "needed",
-    )
-    small = needed.select("doc_id").distinct().count() <= BROADCAST_ROWS
-    wanted = needed.groupBy("doc_id").agg(F.collect_list(F.struct("key", "p", "q")).alias("at"))
-    texts = docs.join(F.broadcast(wanted) if small else wanted, "doc_id")
-
-    def to_sets(batches):
-        words = WordHash()
-        for batch, texts in texts_in_parts(batches):
-            packed_sets = pa.array([s.tobytes() for s in shingle_sets(texts, words, k)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("at"), packed_sets], ["doc_id", "at", "shingles"])
-
-    full = texts.select("doc_id", "at", "text").mapInArrow(to_sets, "doc_id long, at array<struct<key: long, p: int, q: int>>, shingles binary")
-    full = full.select("doc_id", "shingles", F.explode("at").alias("at")).select("doc_id", "shingles", "at.*")
-    links = full.groupBy("key", "p", "q").applyInArrow(compare(percent), "a long, b long")
+    spread = scratch.save(spread.select("doc_id", "key", "own", "lead", "blocks"), "spread")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    none = F.lit(0)
+    # each set in its own block, and the representative in all
+    needed = spread.select("doc_id", "key", F.col("own").alias("p"), none.alias("q"), "lead", "blocks").union(
+        spread.filter("doc_id = lead AND blocks > 1").select("doc_id", "key", every.alias("p"), none, "lead", "blocks").filter(F.col("p") != F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    )
+    kind = "key long, a long, b long"
+    links = scratch.save(fetched_sets(docs, scratch.save(needed, "needed"), k).groupBy("key", "p", "q").applyInArrow(compare(percent, True), kind), "links")
+    rest = links.filter("b IS NULL").select("key", F.col("a").alias("doc_id")).distinct()
+    links = links.filter("b IS NOT NULL").select("a", "b")
+    if not rest.isEmpty():
+        # sets outside their representative's class meet every block of the group
+        groups = rest.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("parts"))
+        rest = rest.join(groups, "key").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("parts")).cast("int"))
+        parts = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+        other = spread.join(groups, "key").select("doc_id", "key", parts.alias("p"), F.col("own").alias("q"), "lead", "blocks")
+        outside = rest.join(size, "key").select("doc_id", "key", F.col("part").alias("p"), every.alias("q"), "lead", "blocks")
+        more = fetched_sets(docs, scratch.save(other.union(outside), "needed2"), k).groupBy("key", "p", "q").applyInArrow(compare(percent, False), kind)
+        links = links.union(scratch.save(more, "links2").select("a", "b"))
     label = components(spark, scratch, links)
     ones = known.groupBy("fp").agg(F.min("doc_id").alias("one"))
     ones = ones.join(label, F.col("one") == F.col("node"), "left").select("fp", F.coalesce("component", "one").alias("class"))

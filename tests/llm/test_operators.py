@@ -472,3 +472,34 @@ def test_url_filters_of_repeated_and_extra_columns(spark):
     captures = spark.createDataFrame([(1, u, "2024-02-01", "h", "p") for u in [*urls, urls[0]]], "capture_id long, url string, fetched_at string, host string, path string").withColumn("fetched_at", F.to_date("fetched_at"))
     got = url_filters.temporal_list_join(captures, entries).collect()
     assert sorted(r["n_active"] for r in got) == [1, 1, 1, 2] and {r["capture_id"] for r in got} == {1}
+
+
+def test_connected_blocks_skip_only_what_no_pair_can_reach():
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        n = np.sort(rng.integers(5, 60, 40))
+        p = np.array([rng.integers(0, ngram_jaccard.prefix_length(x, 80)) for x in n])
+        order = np.lexsort((p, n))
+        n, p = n[order], p[order]
+        own = ngram_jaccard.connected_blocks(n, p, 80)
+        for i, j in itertools.combinations(range(40), 2):
+            if 100 * n[i] >= 80 * n[j] and min(p[i], p[j]) + min(n[i] - p[i], n[j] - p[j]) >= ngram_jaccard.least_overlap(n[i], n[j], 80):
+                assert own[i] == own[j]
+        assert len(set(own)) > 1
+
+
+def test_ngram_jaccard_of_a_chain_of_near_copies(spark, monkeypatch):
+    """A group over many blocks whose ends are alike with nothing but their neighbours, and strangers that share its rare words."""
+    monkeypatch.setattr(ngram_jaccard, "BLOCK_SETS", 8)
+    monkeypatch.setattr(ngram_jaccard, "SHORT_LIST", 3)
+    rng = random.Random(11)
+    base = prose(rng, 120).split()
+    texts = []
+    for i in range(40):
+        texts.append(" ".join(base))
+        base[(i * 2) % 60] = prose(rng, 1)
+    texts += [" ".join(base[70:80]) + " " + prose(rng, 40) for _ in range(20)]
+    sets = {i * 3: shingles(t) for i, t in enumerate(texts)}
+    links = [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_jaccard.ngram_jaccard_classes(spark, frame(spark, texts)).collect()}
+    assert got == classes(list(sets), links) and len(set(got.values())) == 21
