@@ -65,3 +65,42 @@ KILOMETRES = {"mi": 1.609344, "km": 1.0}
 SQUARE_KILOMETRES = {"sqmi": 2.589988110336, "km2": 1.0}
 #: Components of pronunciation templates that are not part of the pronunciation.
 PRONUNCIATION_EXTRAS = ["icon", "lang", "english", "pron", "pronunciation", "local", "ipa", "us", "uk", "-"]
+
+# What a word around a wording is made of, what it follows and what may end it. A-z also admits the six
+# characters between Z and a.
+CONTEXT_WORD, CONTEXT_GAP, CONTEXT_STOP = r"[A-z0-9_\-()\"%]", r"['\s]", "[;,:]"
+
+# Rules of the markup cleaner as (pattern, replacement), in the order in which they apply. Results depend
+# on each of them and on their order.
+SECTION_TITLE = r"(==+)\s*(.*?)\s*\1"
+EXTERNAL_LINK_RULES = [
+    (r"\[\w+[^\n\]]*? ([^\n]*?)\]", "$1"),
+    (r"\[\w+[&\]]*\]", ""),
+]
+QUOTE_RULES = [
+    (r"'''''([^']*?)'''''", "$1"),
+    (r"'''(.*?)'''", "$1"),
+    (r"''\"(.*?)\"''", '"$1"'),
+    (r"''([^']*)''", '"$1"'),
+    (r'""(.*?)""', "$1"),
+    ("'''", ""),
+    ("''", '"'),
+]
+TIDY_RULES = [
+    ("<<", "«"),
+    (">>", "»"),
+    (r"(?m)^ .*?$", ""),
+    (r"\t", " "),
+    (" {2,}", " "),
+    (r"\.{4,}", "..."),
+    (r"\n[^\p{L}\p{N}_]+?\n", "\n"),
+    (",,", ","),
+    (r",\.", "."),
+]
+# An element with its content, one without, and either tag of one, by name.
+WHOLE_ELEMENT = r"(?is)<\s*{0}\b[^>]*>.*?<\s*/\s*{0}>"
+CLOSED_ELEMENT = r"(?is)<\s*(?:{0})\b[^/]*/\s*>"
+EITHER_TAG = r"(?i)<\s*/?\s*(?:{0})\b[^>]*>"
+PLACEHOLDER_ELEMENT = r"(?is)<\s*{0}(?:\s*| [^>]+?)>.*?<\s*/\s*{0}\s*>"
+# Marks by which lines of cleaned text are told apart: page titles, list items, table rows and their ends, bracketed lines.
+TITLE_MARK, ITEM_MARKS, TABLE_MARKS, TABLE_END, BRACKETS, RULER = "++", "*#:;", "{|", "}", "()", ".-"

@@ -9,29 +9,35 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .fixed import NAMESPACES
+from .fixed import CONTEXT_GAP, CONTEXT_STOP, CONTEXT_WORD, NAMESPACES
 
-#: Words of a context; the class [A-z] also admits the six characters between Z and a.
-_WORD = r"(?:'|\s)[A-z0-9_\-()\"%]+[;,:]?"
 
+def run_of_words(most: int) -> str:
+    """Regular expression of up to ``most`` words, each after a space or an apostrophe. Nothing that follows a run can match
+    inside a word, so words are not given back (possessive), and a text costs a fixed number of steps for each of its words."""
+    return rf"(?:{CONTEXT_GAP}{CONTEXT_WORD}++{CONTEXT_STOP}?+){{0,{most}}}"
 
-def context_pattern(wording: Column, words: int) -> Column:
-    """Regular expression for up to ``words`` words before (group 1) and after (group 2) a wording in one sentence."""
-    run = f"((?:{_WORD}){{0,{words}}})"
-    return F.concat(F.lit(rf"(?i)(?:(?:^|\.)[^.]*?{run}\s\Q"), F.replace(wording, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(rf"\E[;,:]?{run}(?:\s[^.]*?)?\.(?:[^\d]|$))"))
+
+def around(wording: Column, before: str, after: str) -> Column:
+    """Regular expression of a sentence that holds the wording between the two expressions; sentences end before a character that is no digit."""
+    literal = F.concat(F.lit(r"\s\Q"), F.replace(wording, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(rf"\E{CONTEXT_STOP}?"))
+    return F.concat(F.lit(rf"(?i)(?:^|\.)[^.]*?{before}"), literal, F.lit(rf"{after}(?:\s[^.]*)?\.(?:\D|$)"))
 
 
 def wording_in_text(text: Column, wording: Column) -> Column:
     """Whether a wording stands in a sentence of the text. The plain search first spares the regular expression."""
-    return F.contains(F.lower(text), F.lower(wording)) & F.regexp_like(text, context_pattern(wording, 1))
+    return F.contains(F.lower(text), F.lower(wording)) & F.regexp_like(text, around(wording, "", run_of_words(1)))
 
 
 def contexts(text: Column, wording: Column, words: int = 3) -> Column:
-    """Array of (preceding, following): the trimmed words around each occurrence of a wording."""
-    p = context_pattern(wording, words)
-    both = F.arrays_zip(F.regexp_extract_all(text, p, F.lit(1)).alias("preceding"), F.regexp_extract_all(text, p, F.lit(2)).alias("following"))
-    space = r"^\s+|\s+$"
-    return F.transform(both, lambda x: F.struct(F.regexp_replace(x["preceding"], space, "").alias("preceding"), F.regexp_replace(x["following"], space, "").alias("following")))
+    """Array of (preceding, following): the trimmed words around a wording in each sentence that holds it.
+
+    One pass over the text finds the sentences, which end before the next one may start; the words are then taken out of each sentence alone."""
+    run = run_of_words(words)
+    sentences = F.regexp_extract_all(text, around(wording, "", run), F.lit(0))
+    parted = around(wording, f"({run})", f"({run})")
+    side = lambda s, k: F.regexp_replace(F.call_function("regexp_extract", s, parted, F.lit(k)), r"^\s+|\s+$", "")
+    return F.transform(sentences, lambda s: F.struct(side(s, 1).alias("preceding"), side(s, 2).alias("following")))
 
 
 def split_sentences(text: Column) -> Column:

@@ -161,7 +161,7 @@ ORACLES: dict[str, str] = {
     "wiki_bold": f"WITH {MARKUP} SELECT page_id, replace(replace(text, repeat(chr(39), 3), ''), repeat(chr(39), 2), '\"') AS text FROM markup",
     "external_links": f"WITH {MARKUP} SELECT page_id, split_part(text, chr(10), 1) || chr(10) || ' links ' || n_name || ' ' || repeat(chr(39), 3) || title || repeat(chr(39), 3) || ' the site ' || repeat(chr(39), 2) || 'italic' || repeat(chr(39), 2) || chr(10) || split_part(text, chr(10), 3) || chr(10) || split_part(text, chr(10), 4) || chr(10) || '   ' AS text FROM markup",
     "wiki_links": f"WITH {MARKUP} SELECT page_id, split_part(text, chr(10), 1) || chr(10) || ' links ' || n_name || ' ' || repeat(chr(39), 3) || title || repeat(chr(39), 3) || ' [http://a.org/x the site] ' || repeat(chr(39), 2) || 'italic' || repeat(chr(39), 2) || chr(10) || split_part(text, chr(10), 3) || chr(10) || split_part(text, chr(10), 4) || chr(10) || '   ' AS text FROM markup",
-    "templates_expanded": f"WITH {MARKUP} SELECT page_id, {FLOAT('p_size * 1.609344')} || ' km and ' || {FLOAT('p_size * 2.589988110336')} || ' km2, ' || title || ' as of 1999 1998-1999 ' AS text FROM markup",
+    "templates_expanded": f"WITH {MARKUP} SELECT page_id, {FLOAT('p_size * 1.609344')} || ' km and ' || {FLOAT('p_size * 2.589988110336')} || ' km2, ' || title || ' as of 1999 1998-1999 ' || substr(text, strpos(text, chr(10))) AS text FROM markup",
     "page_categories": f"WITH {MARKUP} SELECT page_id, 'Category:' || p_brand || '|Category:' || p_type AS piped, 'Category:' || p_brand || '|Category:' || p_type || '|Category:Bare' AS \"all\" FROM markup",
     "category_index": f"WITH {MARKUP} SELECT 'Category:' || c AS category, string_agg(CAST(page_id AS VARCHAR), ',' ORDER BY page_id) AS pages FROM (SELECT page_id, unnest([p_brand, p_type]) AS c FROM markup) GROUP BY c",
     "category_sizes": f"WITH {MARKUP} SELECT 'Category:' || c AS category, count(*) AS n FROM (SELECT page_id, unnest([p_brand, p_type]) AS c FROM markup) GROUP BY c",

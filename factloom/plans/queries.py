@@ -214,7 +214,7 @@ def external_links(spark, sf):
 
 @query
 def templates_expanded(spark, sf):
-    return demo.markup(spark, sf).select("page_id", wt.expand_templates(F.split_part("text", F.lit("\n"), F.lit(1))).alias("text"))
+    return demo.markup(spark, sf).select("page_id", wt.expand_templates(F.col("text")).alias("text"))
 
 
 @query
