@@ -60,49 +60,37 @@ class Scratch:
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-class WordHash(dict):
-    """64-bit hashes of words by their bytes; forgets them at ``LIMIT`` words, and keeps none of over ``LONG`` bytes, so memory is bounded."""
+def word_codes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Words between ASCII white space of all texts in turn: their numbers, where each text's words start (and the last ends),
+    and the distinct words. A-Z folds if ``lower``. Work on words is then done once for each distinct one of a part."""
+    if texts.type != pa.string():
+        texts = pc.cast(texts, pa.string())
+    column = pc.ascii_trim_whitespace(pc.fill_null(texts, ""))
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(column) if lower else column)
+    flat, starts = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+    some = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)  # a text without words gives one empty word
+    if not some.all():
+        flat, starts = flat.filter(pa.array(some)), np.r_[0, np.cumsum(some)][starts]
+    coded = flat.dictionary_encode()
+    return coded.indices.to_numpy(), starts, coded.dictionary
 
-    LIMIT, LONG = 300_000, 200
 
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= self.LONG:
-            if len(self) >= self.LIMIT:
-                self.clear()
-            self[word] = value
-        return value
+def word_hashes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts in turn, by their bytes, and where each text's words start."""
+    codes, starts, words = word_codes(texts, lower)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, pc.cast(words, pa.binary()).to_pylist()), U64, len(words))[codes], starts
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=U64, count=len(words))
 
+def pair_of_hashes(words: list[bytes]) -> np.ndarray:
+    """Two independent 64-bit hashes of each word, as two rows."""
+    digests = b"".join(map(xxhash.xxh3_128_digest, words))
+    return np.frombuffer(digests, ">u8").reshape(-1, 2).T.astype(U64)
 
-class WordPairs(dict):
-    """Two independent 64-bit hashes of words by their bytes. The dictionary numbers the words, two tables hold the hashes;
-    all are forgotten at ``LIMIT`` words or ``BYTES`` bytes of words, so memory is bounded."""
 
-    LIMIT, BYTES, PART = 300_000, 64_000_000, 100_000
-
-    def __init__(self) -> None:
-        self.held, self.tables = 0, np.zeros((2, self.LIMIT + self.PART), U64)
-
-    def __missing__(self, word: bytes) -> int:
-        digest = xxhash.xxh3_128_intdigest(word)
-        n = self[word] = len(self)
-        self.tables[0, n], self.tables[1, n] = digest & 0xFFFFFFFFFFFFFFFF, digest >> 64
-        self.held += len(word)
-        return n
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        """Array of two rows of hashes. Words are looked up in parts, so that the tables have room for the new ones of each."""
-        out = np.empty((2, len(words)), U64)
-        for i in range(0, len(words), self.PART):
-            if len(self) > self.LIMIT or self.held > self.BYTES:
-                self.clear()
-                self.held = 0
-            part = words[i : i + self.PART]
-            out[:, i : i + len(part)] = self.tables[:, np.fromiter(map(self.__getitem__, part), dtype=np.int64, count=len(part))]
-        return out
+def word_pairs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """As ``word_hashes``, with both hashes of ``pair_of_hashes``."""
+    codes, starts, words = word_codes(texts)
+    return pair_of_hashes(pc.cast(words, pa.binary()).to_pylist())[:, codes], starts
 
 
 def byte_texts(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:
@@ -155,18 +143,21 @@ def joined(column: pa.ChunkedArray | pa.Array, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(x for x in column.to_pylist() if x), dtype=dtype)
 
 
-def texts_in_parts(batches: Iterable[pa.RecordBatch], limit: int = 8_000_000) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+def in_parts(batches: Iterable[pa.RecordBatch], limit: int = 32_000_000, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Slices of the batches with at most about ``limit`` bytes of text each (one text may be longer)."""
     for batch in batches:
-        texts = byte_texts(batch.column(batch.schema.get_field_index("text")))
-        start = size = 0
-        for i, x in enumerate(texts):
-            size += len(x or b"")
-            if size >= limit:
-                yield batch.slice(start, i + 1 - start), texts[start : i + 1]
-                start, size = i + 1, 0
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = np.cumsum(sizes) // limit
+        cuts = np.r_[0, np.flatnonzero(part[1:] != part[:-1]) + 1, len(part)]
+        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if j > i:
+                yield batch.slice(i, j - i)
+
+
+def texts_in_parts(batches: Iterable[pa.RecordBatch], limit: int = 8_000_000) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+    """``in_parts``, each with its texts as bytes."""
+    for batch in in_parts(batches, limit):
+        yield batch, byte_texts(batch.column(batch.schema.get_field_index("text")))
 
 
 def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -22,15 +22,13 @@ its members; only sets outside that class then meet the group's other blocks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, WordHash, bucket_of, components, joined, local_components, mix, packed, power_of_two, texts_in_parts, windows
+from .common import U64, Scratch, bucket_of, components, in_parts, joined, local_components, mix, packed, power_of_two, windows, word_hashes
 
 #: Shingles counted as frequent at most; they only settle the global order, so the bound cannot change results.
 FREQUENT = 100_000
@@ -46,16 +44,14 @@ BLOCK_SETS, BLOCK_SHINGLES = 1_000, 4_000_000
 BROADCAST_ROWS = 400_000
 
 
-def shingle_sets(texts: list[bytes | None], words: WordHash, k: int) -> Iterator[np.ndarray]:
+def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text; A-Z in lower case, words between ASCII spaces."""
-    for text in texts:
-        found = (text or b"").lower().split()
-        if not found:
-            yield np.zeros(0, U64)
-            continue
-        hashes = words.of(found)
-        short = len(found) < k
-        yield np.unique(windows(hashes, len(found), seed=len(found)) if short else windows(hashes, k))
+    hashes, starts = word_hashes(texts, lower=True)
+    whole, out = windows(hashes, k), []  # those across two texts are not used
+    for i, j in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+        n = j - i
+        out.append(np.unique(whole[i : j - k + 1] if n >= k else windows(hashes[i:j], n, seed=n)) if n else np.zeros(0, U64))
+    return out
 
 
 def least_overlap(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -71,10 +67,11 @@ def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
     """Shingles that many documents hold, the most frequent ones last; all documents are counted."""
 
     def count(batches):
-        words, held, size = WordHash(), [], 0
-        for _, texts in texts_in_parts(batches):
-            held += [s for s in shingle_sets(texts, words, k) if len(s)]
-            size += sum(map(len, held[-len(texts) :]))
+        held, size = [], 0
+        for batch in in_parts(batches):
+            sets = [s for s in shingle_sets(batch.column("text"), k) if len(s)]
+            held += sets
+            size += sum(map(len, sets))
             if size >= COUNTED:
                 yield repeated(held)
                 held, size = [], 0
@@ -97,11 +94,10 @@ def prefixes(docs: DataFrame, frequent: np.ndarray, k: int, percent: int) -> Dat
     table = docs.sparkSession.sparkContext.broadcast((frequent[by_hash], by_hash.astype(np.uint32)))
 
     def cut(batches):
-        words = WordHash()
         hashes, ranks = table.value
-        for batch, texts in texts_in_parts(batches):
+        for batch in in_parts(batches):
             n, fp, rare, common = [], [], [], []
-            for s in shingle_sets(texts, words, k):
+            for s in shingle_sets(batch.column("text"), k):
                 n.append(len(s))
                 fp.append(xxhash.xxh3_128_digest(s.tobytes()))
                 at = np.minimum(np.searchsorted(hashes, s), max(len(hashes) - 1, 0))
@@ -322,9 +318,8 @@ def fetched_sets(docs: DataFrame, needed: DataFrame, k: int) -> DataFrame:
     texts = docs.join(F.broadcast(wanted) if small else wanted, "doc_id")
 
     def to_sets(batches):
-        words = WordHash()
-        for batch, texts in texts_in_parts(batches):
-            packed_sets = pa.array([s.tobytes() for s in shingle_sets(texts, words, k)], pa.binary())
+        for batch in in_parts(batches, 8_000_000):
+            packed_sets = pa.array([s.tobytes() for s in shingle_sets(batch.column("text"), k)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("at"), packed_sets], ["doc_id", "at", "shingles"])
 
     full = texts.select("doc_id", "at", "text").mapInArrow(to_sets, "doc_id long, at array<struct<key: long, p: int, q: int, lead: long, blocks: int>>, shingles binary")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, texts_in_parts
+from .common import Scratch, in_parts
 from .tokens import part_ids, vocabulary_path
 
 #: Pieces packed together at most on average.
@@ -30,19 +30,21 @@ GAIN = 1e-4
 
 def pieces(docs: DataFrame, path: str, capacity: int, end: int) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32): each document's ids, then ``end``, cut where they exceed capacity."""
-    last = np.array([end], "<u4").tobytes()
-
     def cut(batches):
         encode = part_ids(path)
-        for batch, texts in texts_in_parts(batches):
-            out = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
-                ids = encode.of(text) + last
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    out.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
-            doc, k, start, n, crc = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(k, pa.int32()), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        for batch in in_parts(batches):
+            ids, starts = encode.of(batch.column("text"))
+            # the ids of all documents with the end after each, and what a document has of them
+            ids = np.insert(ids, starts[1:], end).astype("<u4")
+            first, size = starts[:-1] + np.arange(len(starts) - 1), np.diff(starts) + 1
+            many = -(-size // capacity)
+            own = np.repeat(np.arange(len(size)), many)
+            piece = np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many)
+            start = piece * capacity
+            length = np.minimum(capacity, size[own] - start)
+            view, at = memoryview(ids).cast("B"), (first[own] + start) * 4
+            crc = [zlib.crc32(view[i:j]) for i, j in zip(at.tolist(), (at + length * 4).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(own)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

@@ -11,16 +11,16 @@ feature numbers travel. FTRL-proximal steps leave most weights at zero, so rare
 
 from __future__ import annotations
 
-import operator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, read, texts_in_parts
+from .common import U64, in_parts, read, word_codes
 
 #: Rated documents that the fit uses at most (on average), drawn by a hash of doc_id, evenly over grades.
 LABELLED = 9_000
@@ -28,34 +28,44 @@ LABELLED = 9_000
 BITS, STEM = 18, 5
 PASSES, L1, L2, RATE = 6, 8.0, 1.0, 0.5
 #: Numbers of the three features for repetition.
-REPEATS = np.array([0, 1, 2], U64)
+REPEATS = np.array([0, 1, 2], np.int32)
+
+
+_MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class Features(dict):
-    """Three feature numbers of a word in one integer: the word itself, its first bytes and its shape."""
+    """Three feature numbers of a word in one integer: the word itself, its first bytes and its shape. Forgets them at
+    ``LIMIT`` words and keeps none of over ``LONG`` bytes, so memory is bounded."""
 
-    LIMIT = 300_000
+    LIMIT, LONG = 300_000, 200
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        bare = word.strip(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
-        tail = word[len(word.rstrip(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")) :][:3]
+        bare = word.strip(_MARKS)
+        tail = word[len(word.rstrip(_MARKS)) :][:3]
         case = b"U" if len(bare) > 1 and bare.isupper() else b"l" if bare.islower() else b"T" if bare[:1].isupper() else b"o" if bare else b"-"
         own = xxhash.xxh3_64_intdigest(b"w" + bare.lower()) >> (64 - BITS)
         shape = xxhash.xxh3_64_intdigest(b"s" + case + tail) >> (64 - BITS)
         stem = xxhash.xxh3_64_intdigest(b"p" + bare.lower()[:STEM]) >> (64 - BITS)
-        value = self[word] = own | (stem << BITS) | (shape << 2 * BITS)
+        value = own | (stem << BITS) | (shape << 2 * BITS)
+        if len(word) <= self.LONG:
+            if len(self) >= self.LIMIT:
+                self.clear()
+            self[word] = value
         return value
 
-    def of(self, text: bytes | None) -> np.ndarray:
-        """Sorted distinct feature numbers of a text; how much it repeats the word before is told by up to three of them."""
-        found = (text or b"").split()
-        words = set(found)
-        again = sum(map(operator.eq, found, found[1:])) / max(len(found), 1)
-        both = np.fromiter(map(self.__getitem__, words), dtype=U64, count=len(words))
+    def of(self, texts: pa.Array) -> list[np.ndarray]:
+        """Sorted distinct feature numbers of each text; how much it repeats the word before is told by up to three of them."""
+        codes, starts, words = word_codes(texts)
+        each = np.fromiter(map(self.__getitem__, pc.cast(words, pa.binary()).to_pylist()), dtype=U64, count=len(words))
         part = U64((1 << BITS) - 1)
-        return np.unique(np.concatenate([both & part, (both >> U64(BITS)) & part, both >> U64(2 * BITS), REPEATS[: sum(again >= x for x in (0.05, 0.15, 0.3))]])).astype(np.int32)
+        three = np.stack([each & part, (each >> U64(BITS)) & part, each >> U64(2 * BITS)]).astype(np.int32)
+        same, out = np.r_[codes[1:] == codes[:-1], False], []
+        for i, j in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            again = same[i : max(j - 1, i)].sum() / max(j - i, 1)
+            found = np.unique(codes[i:j]) if j - i > 64 else codes[i:j]
+            out.append(np.unique(np.concatenate([three[:, found].ravel(), REPEATS[: sum(again >= x for x in (0.05, 0.15, 0.3))]])))
+        return out
 
 
 @dataclass
@@ -129,8 +139,8 @@ def rated_features(docs: DataFrame, grades: DataFrame, limit: int):
 
     def emit(batches):
         features = Features()
-        for batch, texts in texts_in_parts(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grade"), pa.array([features.of(t).tobytes() for t in texts], pa.binary())], ["doc_id", "grade", "features"])
+        for batch in in_parts(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grade"), pa.array([f.tobytes() for f in features.of(batch.column("text"))], pa.binary())], ["doc_id", "grade", "features"])
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").join(sample, "doc_id").mapInArrow(emit, "doc_id long, grade int, features binary").toPandas()
     rows = rows.sort_values(["doc_id", "features"])
@@ -160,8 +170,8 @@ def rate_documents(docs: DataFrame, model: OrdinalModel, enough: int, least: flo
 
     def rate(batches):
         features = Features()
-        for batch, texts in texts_in_parts(batches):
-            found = [features.of(t) for t in texts]
+        for batch in in_parts(batches):
+            found = features.of(batch.column(batch.schema.get_field_index("text")))
             tails = held.value.tails(held.value.score(found)) if found else np.zeros((0, 1))
             tails[[not len(f) for f in found]] = 0
             kept = ((tails[:, enough - 1] >= least) | (not held.value.fitted)) & np.array([len(f) > 0 for f in found], bool)

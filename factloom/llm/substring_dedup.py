@@ -22,6 +22,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import ODD, U64, Scratch, WordPairs, bucket_of, joined, mix, packed, power_of_two, texts_in_parts, windows
+from .common import ODD, U64, Scratch, bucket_of, joined, mix, packed, power_of_two, texts_in_parts, windows, word_pairs
 
 #: Documents of a chunk have the same id // CHUNK, a power of two.
 CHUNK = 64
@@ -47,11 +48,6 @@ BUCKET_WORDS = 1_500_000
 PLACES = "at long, part int, a binary, b binary, rows binary, places binary"
 
 
-@functools.lru_cache(maxsize=1)
-def word_pairs() -> WordPairs:
-    return WordPairs()
-
-
 def least_of(x: np.ndarray, span: int) -> np.ndarray:
     """The smallest of each ``span`` consecutive numbers."""
     n, held = 1, x
@@ -120,8 +116,12 @@ def opened(blobs: list[bytes], carried: int) -> list[tuple]:
 def fingerprints(store: DataFrame, width: int, buckets: int) -> DataFrame:
     """Packed entries for each bucket: the last bits of fingerprints, and twice their chunk plus whether documents of it share them."""
 
-    def entries(found: list[np.ndarray], owner: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    def entries(held: list[bytes | None], owner: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+        (words, _), starts = word_pairs(pa.array(held, pa.binary()))
+        found = [fingerprints_of(words[i:j], width)[0] for i, j in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
         f, n = np.concatenate(found), [len(x) for x in found]
+        if not len(f):
+            return
         chunk, doc = (np.repeat(np.array(x, np.int64), n) for x in zip(*owner, strict=True))
         order = np.lexsort((doc, f, chunk))
         f, doc, chunk = f[order], doc[order], chunk[order]
@@ -129,23 +129,21 @@ def fingerprints(store: DataFrame, width: int, buckets: int) -> DataFrame:
         several = np.maximum.reduceat(doc, starts) != doc[starts]
         f, at = f[starts], chunk[starts] * 2 + several
         rows = list(packed(bucket_of(f, buckets), (f & U64(0xFFFFFFFF)).astype(np.uint32), at))
-        return pa.RecordBatch.from_pydict({"bucket": pa.array([b for b, _ in rows], pa.int32()), "f": pa.array([x[0] for _, x in rows], pa.binary()), "at": pa.array([x[1] for _, x in rows], pa.binary()), "fresh": [True] * len(rows)})
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array([b for b, _ in rows], pa.int32()), "f": pa.array([x[0] for _, x in rows], pa.binary()), "at": pa.array([x[1] for _, x in rows], pa.binary()), "fresh": [True] * len(rows)})
 
     def emit(batches):
-        words, found, owner, size = word_pairs(), [], [], 0
+        held, owner, size = [], [], 0
         for batch in batches:
             for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob").to_pylist(), strict=True):
-                for doc, text in opened([blob], 0):
-                    f, _ = fingerprints_of(words.of((text or b"").split())[0], width)
-                    if len(f):
-                        found.append(np.unique(f))
-                        owner.append((chunk, doc))
-                        size += len(f)
-                if size > 2_000_000:
-                    yield entries(found, owner)
-                    found, owner, size = [], [], 0
-        if found:
-            yield entries(found, owner)
+                docs = opened([blob], 0)
+                held += [t for _, t in docs]
+                owner += [(chunk, d) for d, _ in docs]
+                size += sum(len(t or b"") for _, t in docs)
+                if size > 16_000_000:
+                    yield from entries(held, owner)
+                    held, owner, size = [], [], 0
+        if held:
+            yield from entries(held, owner)
 
     return store.select("chunk", "blob").mapInArrow(emit, "bucket int, f binary, at binary, fresh boolean")
 
@@ -204,8 +202,9 @@ def propose(width: int, buckets: int):
             blobs = [b for b, x in zip(left.column("blob").to_pylist(), left.column("fresh").to_pylist(), strict=True) if x == part]
             found = [np.zeros((4, 0), U64)]
             docs = opened(blobs, 0)
-            for row, (_, text) in enumerate(docs):
-                words = word_pairs().of((text or b"").split())
+            pairs, starts = word_pairs(pa.array([text for _, text in docs], pa.binary()))
+            for row, (i, j) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)):
+                words = pairs[:, i:j]
                 f, n = fingerprints_of(words[0], width)
                 number = number_of(f, buckets)
                 hit = flagged[np.minimum(np.searchsorted(flagged, number), len(flagged) - 1)] == number
