@@ -4,7 +4,7 @@ A linear classifier predicts the language family; within it, linear support vect
 each pair of languages, vote. All work on relative frequencies of hashed letter sequences of one to
 three bytes, with A-Z and the Latin-1 capitals folded and everything that is not a letter as a space.
 A prediction is linear in the frequencies, so a text's score is the mean weight of its sequences; texts
-are read whole. The machines are fitted on the driver on at most ``SAMPLE`` documents.
+are read whole. The machines are fitted on the driver on a hash sample of at most ``sample`` documents, on average.
 """
 
 from __future__ import annotations
@@ -32,8 +32,10 @@ FAMILIES = {
     "dravidian": ["kn", "ml", "ta", "te"],
     "baltic": ["lt", "lv"],
 }
-#: Training documents in all at most (on average), and for each language.
+#: Training documents in all at most (on average), and for each language: defaults of ``language_model``.
 SAMPLE, EACH = 3_000, 600
+#: Bytes of text whose sequences are held at once, at some 30 bytes each. Longer texts are cut at spaces and their sums added up.
+HELD = 2_000_000
 #: Hashed features.
 BITS = 12
 #: Weight of the squared norm in the objective, and gradient steps.
@@ -65,14 +67,36 @@ def sequences(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
     return out, starts
 
 
+def held_pieces(texts: list[bytes]):
+    """Groups of pieces of at most about ``HELD`` bytes, with the number of the text that each piece is of. A longer text is cut after a
+    space; only sequences across such a cut are not counted."""
+    own, parts, size = [], [], 0
+    for i, text in enumerate(texts):
+        start = 0
+        while True:
+            end = len(text) if len(text) - start <= HELD else text.rfind(b" ", start, start + HELD) + 1 or start + HELD
+            own.append(i)
+            parts.append(text[start:end])
+            size += end - start
+            start = end
+            if size >= HELD:
+                yield np.array(own), parts
+                own, parts, size = [], [], 0
+            if start >= len(text):
+                break
+    if parts:
+        yield np.array(own), parts
+
+
 def frequencies(texts: list[bytes]) -> np.ndarray:
     """Relative frequencies of the features, one row for each text."""
-    found, starts = sequences(texts)
     rows = np.zeros((len(texts), (1 << BITS) + 1), np.float32)
-    ends = np.r_[starts[1:], len(found[0])]
-    for f in found:
-        for i, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
-            rows[i] += np.bincount(f[a:b], minlength=(1 << BITS) + 1)
+    for own, parts in held_pieces(texts):
+        found, starts = sequences(parts)
+        ends = np.r_[starts[1:], len(found[0])]
+        for f in found:
+            for i, a, b in zip(own.tolist(), starts.tolist(), ends.tolist(), strict=True):
+                rows[i] += np.bincount(f[a:b], minlength=(1 << BITS) + 1)
     rows = rows[:, :-1]
     return rows / np.maximum(rows.sum(axis=1, keepdims=True), 1)
 
@@ -105,13 +129,14 @@ class LanguageModel:
     bias: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
     def margins(self, texts: list[bytes]) -> np.ndarray:
-        found, starts = sequences(texts)
-        used = np.add.reduceat(sum((f < (1 << BITS)).astype(np.int64) for f in found), starts)
-        out = np.zeros((len(texts), len(self.bias)))
-        for k in range(len(self.bias)):
-            w = np.r_[self.weights[k], 0].astype(np.float32)
-            out[:, k] = np.add.reduceat(sum(w[f] for f in found), starts, dtype=np.float64) / np.maximum(used, 1) + self.bias[k]
-        return out
+        out, used = np.zeros((len(texts), len(self.bias))), np.zeros(len(texts))
+        for own, parts in held_pieces(texts):
+            found, starts = sequences(parts)
+            np.add.at(used, own, np.add.reduceat(sum((f < (1 << BITS)).astype(np.int64) for f in found), starts))
+            for k in range(len(self.bias)):
+                w = np.r_[self.weights[k], 0].astype(np.float32)
+                np.add.at(out[:, k], own, np.add.reduceat(sum(w[f] for f in found), starts, dtype=np.float64))
+        return out / np.maximum(used, 1)[:, None] + self.bias
 
     def predict(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Number of the language of each text, and a score from 0 to 1."""
@@ -156,23 +181,24 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def language_model(docs: DataFrame) -> LanguageModel | None:
-    """Fit on a hash sample of the documents that are not held out and have a language; None if there are none."""
-    known = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).toLocalIterator()}
-    if not counts:
+def language_model(docs: DataFrame, sample: int = SAMPLE, each: int = EACH) -> LanguageModel | None:
+    """Fit on a hash sample of the documents that are not held out and have a language: on average at most ``each`` of a
+    language and ``sample`` in all. None if there are none. Languages are counted in a table, so any number of them may occur."""
+    known = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), "lang", "text")
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
+    languages = counts.count()
+    if not languages:
         return None
-    each = min(EACH, SAMPLE / len(counts))
-    part, keep = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)), F.lit(False)
-    for lang, n in sorted(counts.items()):
-        keep = keep | ((F.col("lang") == lang) & (part < int(1_000_000 * min(1.0, each / n)) + 1))
+    part = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(3)), 24)  # 40 bits
+    share = F.least(F.lit(1.0), F.lit(min(each, sample / languages)) / F.col("n"))
+    known = known.join(counts, "lang").filter(part < share * float(2**40)).select("doc_id", "lang", "text")
 
     def emit(batches):
         for batch, texts in texts_in_parts(batches, 2_000_000):
             rows = frequencies([t or b"" for t in texts])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array([r.astype(np.float16).tobytes() for r in rows * 1024], pa.binary())], ["doc_id", "lang", "x"])
 
-    rows = known.filter(keep).select(F.col("doc_id").cast("long"), "lang", "text").mapInArrow(emit, "doc_id long, lang string, x binary").toPandas().sort_values(["doc_id", "lang", "x"])
+    rows = known.mapInArrow(emit, "doc_id long, lang string, x binary").toPandas().sort_values(["doc_id", "lang", "x"])
     x = np.stack([np.frombuffer(r, np.float16) for r in rows["x"]]).astype(np.float32) / 1024
     return fit_languages(x, rows["lang"].tolist())
 
@@ -182,7 +208,9 @@ def identify_languages(spark: SparkSession, docs: DataFrame, model: LanguageMode
 
     Without a model, one is fitted on the rows of docs that are not held out. lang_pred is a learned
     value, or ``und`` with score 0 if the text is null, has no letter, or nothing was learned. Only the
-    text enters a prediction. Repeated rows are returned each; an empty table gives no rows.
+    text enters a prediction. Repeated rows are returned each; of languages that score alike the first by name is taken. A
+    text of any length is read whole, in pieces of bounded size. Other columns, whatever their names, are not looked at; an
+    empty table gives no rows.
     """
     model = model or language_model(docs)
     held = spark.sparkContext.broadcast(model)

@@ -131,10 +131,10 @@ def rated_features(docs: DataFrame, grades: DataFrame, limit: int):
     if not count:
         return [], np.zeros(0, np.int64), np.zeros(0)
     each = limit / len(count)
-    part = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000))
+    part = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(11)), 24)  # 40 bits, so that a share of few rows of very many is met
     keep = F.lit(False)
     for g, n in count.items():
-        keep = keep | ((F.col("grade") == g) & (part < int(1_000_000 * min(1, each / n))))
+        keep = keep | ((F.col("grade") == g) & (part < int(2**40 * min(1, each / n))))
     sample = F.broadcast(grades.filter(keep))  # about limit rows at most
 
     def emit(batches):
@@ -160,7 +160,8 @@ def rate_documents(docs: DataFrame, model: OrdinalModel, enough: int, least: flo
     """Rate the whole text of every row.
 
     Adds expected_grade, tail_probability (of grades >= enough) and kept (that probability is at least
-    ``least``) to the columns of docs; with only_kept, returns the kept rows with docs' own columns. A
+    ``least``) to the columns of docs; with only_kept, returns the kept rows with docs' own columns. Repeated rows are rated
+    each, a probability of exactly ``least`` is kept, and a text of any length is read whole, one task for each. A
     null text and one without words are rated 0 and not kept. A model that is not fitted can reject nothing
     else, whatever ``least`` is. Columns of docs with these names are replaced.
     """

@@ -502,3 +502,53 @@ def test_ngram_jaccard_of_a_chain_of_near_copies(spark, monkeypatch):
     links = [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     got = {r["doc_id"]: r["component_id"] for r in ngram_jaccard.ngram_jaccard_classes(spark, frame(spark, texts)).collect()}
     assert got == classes(list(sets), links) and len(set(got.values())) == 21
+
+
+def test_long_texts_in_pieces(spark, monkeypatch):
+    """A text that is cut has nearly the scores that it has in one piece, and the other operators read it whole."""
+    rng = random.Random(8)
+    letters = {"en": "abcdefg", "de": "abcdehij"}
+    rows = [(i, prose(rng, 30, letters[x]), x) for i, x in enumerate(list(letters) * 40)]
+    model = language_id.language_model(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=60, each=40)
+    text = prose(rng, 30_000, letters["de"]).encode()
+    whole = model.margins([text, b"abc", b""])
+    monkeypatch.setattr(language_id, "HELD", 5_000)
+    assert np.abs(model.margins([text, b"abc", b""]) - whole).max() < 0.01 and len(list(language_id.held_pieces([text]))) > 10
+    long = text.decode()
+    docs = spark.createDataFrame([(1, long, "de"), (2, long + " x", "de"), (3, "a b c", None)], "doc_id long, text string, lang string")
+    assert {r["doc_id"]: r["component_id"] for r in ngram_jaccard.ngram_jaccard_classes(spark, docs).collect()} == {1: 1, 2: 1, 3: 3}
+    assert {r["doc_id"]: r["n_removed"] for r in substring_dedup.substring_dedup(spark, docs).collect()} == {1: 0, 2: 30_000, 3: 0}
+    assert sum(r["length"] for r in packing.best_fit_packing(spark, docs).collect()) == int(tokens.part_ids(tokens.vocabulary_path()).lengths(pa.array([long, long + " x", "a b c"])).sum()) + 3
+    near = {r["doc_id"]: r["near_next"] for r in fingerprints.document_fingerprints(spark, docs).collect()}
+    assert near[1] > 0.9 and near[3] < 0.1
+
+
+def test_edge_rows_of_classifiers(spark):
+    """Ties, repeated rows and columns with clashing names."""
+    rng = random.Random(4)
+    texts = [prose(rng, 30) + (" good" if i % 2 else " bad") for i in range(60)]
+    rows = [(i, t, "en", "k", True, 0.5) for i, t in enumerate(texts)] + [(0, texts[0], "en", "k", True, 0.5)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, kept boolean, expected_grade double")
+    grades = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, grade int")
+    got = quality.rate_documents(docs, quality.fit_quality(docs, grades, 2), 1, 0.5)
+    assert got.count() == 62 and got.columns.count("kept") == 1 and len({r["tail_probability"] for r in got.filter("doc_id = 0").collect()}) == 1
+    found = language_id.identify_languages(spark, docs).collect()
+    assert len(found) == 62 and {r["lang_pred"] for r in found} == {"en"}
+
+
+def test_mixing_solves_the_dual(spark):
+    """Rates have the form that entropy balancing gives: the copies of a source follow min(2, exp(lambda x))."""
+    rng = np.random.default_rng(1)
+    rows = [(i, "w " * int(n), "ab"[i % 2]) for i, n in enumerate(rng.integers(1, 60, 3000))]
+    got = mixing.mix_sources(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(3, 1)).toPandas()
+    for _, part in got.groupby(got["doc_id"] % 2):
+        x = part["size"] / part["size"].mean()
+        lam, low, high = 0.0, -50.0, 50.0
+        for _ in range(200):
+            lam = (low + high) / 2
+            low, high = (lam, high) if (part["size"] * np.minimum(2, np.exp(lam * x))).sum() < part["target"].iloc[0] else (low, lam)
+        want = np.minimum(2, np.exp(lam * x))
+        for a, b in ((1, 20), (20, 40), (40, 60)):
+            at = (part["size"] >= a) & (part["size"] < b)
+            assert abs(part["copies"][at].sum() - want[at].sum()) <= 3
+        assert abs(part["taken"].sum() - part["target"].iloc[0]) <= 1
