@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
 import pandas as pd
@@ -49,9 +50,20 @@ def split_sentences(text: Column) -> Column:
     return F.filter(F.transform(parts, lambda s: F.translate(F.trim(s), "\u0001", ".")), lambda s: s != "")
 
 
-def admissible(sentence: Column, longest: int = 1000, commas: int = 30) -> Column:
-    """Whether a parser takes the sentence: not a command, shorter than ``longest``, at most so many commas."""
-    return ~F.lower(sentence).isin("q", "eof") & (F.length(sentence) < longest) & (F.length(F.regexp_replace(sentence, "[^,]", "")) <= commas)
+def reject_reason(sentence: Column, longest: int = 1000, commas: int = 30) -> Column:
+    """Why a parser does not take the sentence: it is a command of its shell, too long, or has too many commas; null if it does."""
+    many = F.length(F.regexp_replace(sentence, "[^,]", "")) > commas
+    return F.when(F.lower(sentence).isin("q", "eof"), "command").when(F.length(sentence) >= longest, "too long").when(many, "too many commas")
+
+
+def admissible(sentence: Column, longest: int = 1000, commas: int = 30, decompose: bool = False) -> Column:
+    """Whether a parser takes the sentence, after compatibility decomposition if ``decompose``; null for a null sentence."""
+    return F.when(sentence.isNotNull(), reject_reason(nfkd(sentence) if decompose else sentence, longest, commas).isNull())
+
+
+def escape_quotes(text: Column) -> Column:
+    """Quotation marks as they stand inside a quoted string of a query."""
+    return F.replace(text, F.lit('"'), F.lit('\\"'))
 
 
 def expand_iri(iri: Column) -> Column:
@@ -96,7 +108,22 @@ def nfkd(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else unicodedata.normalize("NFKD", s))
 
 
+@functools.lru_cache(maxsize=None)
+def ascii_letter(c: str) -> str:
+    """A letter that has no decomposition, by its name: the letter that a sign is put on, or the first letters of what it is called."""
+    name = unicodedata.name(c, "")
+    if "SHARP S" in name:
+        return "ss"
+    called = name.partition(" LETTER ")[2] or name.partition(" LIGATURE ")[2]
+    base = called.partition(" WITH ")[0].split(" ")[-1][:3]
+    return base.lower() if "SMALL" in name or "CAPITAL" not in name else base.capitalize()
+
+
+def ascii_of(text: str) -> str:
+    return "".join(c if c < "\x80" else ascii_letter(c) for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+
+
 @F.pandas_udf(T.StringType())
 def ascii_fold(text: pd.Series) -> pd.Series:
-    """Letters without their marks, as a fold key for titles."""
-    return text.map(lambda s: None if s is None else "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)).encode("ascii", "ignore").decode())
+    """Letters without their marks and in ASCII, as a fold key for titles; letters of other scripts by their names."""
+    return text.map(lambda s: None if s is None else ascii_of(s))

@@ -39,13 +39,49 @@ def parse_annotations(rows: DataFrame, column: str = "annotation", complete: boo
     j = F.from_json(F.col(column), PARSE)
     kind = "originaldependencies" if complete else "dependencies"
     rows = rows.select(j.alias("j")).filter("j IS NOT NULL").select("j.*")
-    raw = F.transform(F.col(kind), lambda d: F.struct(index_of(repair_name(d["tail"])).alias("tail"), index_of(repair_name(d["head"])).alias("head"), d["rel"].alias("label")))
-    later = lambda e, i: ~F.exists(F.slice(F.col("raw"), i + 2, F.size("raw")), lambda x: (x["tail"] == e["tail"]) & (x["head"] == e["head"]))
+    node = lambda c: index_of(repair_name(c))
+    # in the order of nodes, the last label of each pair of them first; an array of one element binds the sorted ones, so that they are made once
+    entries = F.array_sort(F.transform(F.col(kind), lambda d, i: F.struct(node(d["tail"]).alias("tail"), node(d["head"]).alias("head"), (-i).alias("back"), d["rel"].alias("label"))))
+    other = lambda x, y: ~x["tail"].eqNullSafe(y["tail"]) | ~x["head"].eqNullSafe(y["head"])
+    kept = F.transform(F.array(entries), lambda es: F.filter(es, lambda x, i: (i == 0) | other(x, F.get(es, i - 1))))[0]
+    ordered = F.array_sort(F.transform(kept, lambda x: F.struct((-x["back"]).alias("at"), x["tail"].alias("tail"), x["head"].alias("head"), x["label"].alias("label"))))
+    edges = F.transform(ordered, lambda x: F.struct(x["tail"].alias("tail"), x["head"].alias("head"), x["label"].alias("label")))
     tokens = F.transform("words", lambda w, i: F.struct((i + 1).cast("int").alias("idx"), w["word"].alias("word"), w["CharacterOffsetBegin"].try_cast("int").alias("start"), w["CharacterOffsetEnd"].try_cast("int").alias("end")))
-    out = rows.withColumn("raw", raw).select("sentence_id", "text", tokens.alias("tokens"), F.filter("raw", later).alias("edges"))
+    out = rows.select("sentence_id", "text", tokens.alias("tokens"), edges.alias("edges"))
     return valid_annotations(out)
 
 
+def annotation_json(annotations: DataFrame) -> DataFrame:
+    """Rows (annotation): sentences as the parser's JSON, which ``parse_annotations`` reads."""
+    name = lambda i: F.when(i == 0, "ROOT-0").otherwise(F.concat(F.get("tokens", i - 1)["word"], F.lit("-"), i.cast("string")))
+    annotations = annotations.select("sentence_id", "text", "tokens", "edges")
+    edges = F.transform("edges", lambda e: F.struct(e["label"].alias("rel"), name(e["tail"]).alias("tail"), name(e["head"]).alias("head")))
+    words = F.transform("tokens", lambda t: F.struct(t["word"].alias("word"), t["start"].cast("string").alias("CharacterOffsetBegin"), t["end"].cast("string").alias("CharacterOffsetEnd")))
+    return annotations.select(F.to_json(F.struct("sentence_id", "text", edges.alias("dependencies"), edges.alias("originaldependencies"), words.alias("words"))).alias("annotation"))
+
+
+def read_annotations(spark, path: str, complete: bool = True) -> DataFrame:
+    """Annotated sentences out of text files with a parser's JSON, one sentence in a line."""
+    return parse_annotations(spark.read.text(path).withColumnRenamed("value", "annotation"), complete=complete)
+
+
+def read_conll(spark, path: str) -> DataFrame:
+    """Annotated sentences out of CoNLL-U files: blocks of lines (number, word, ..., head in column 7, relation in column 8) with an
+    empty line between them. A ``# sent_id`` line names a sentence, else a hash of its text does; multi-word and empty tokens are left out."""
+    blocks = spark.read.option("lineSep", "\n\n").text(path).select(F.regexp_replace("value", "\r", "").alias("v"))
+    rows = F.filter(F.split("v", "\n"), lambda x: F.rlike(x, F.lit(r"^\d+\t")))
+    cells = F.transform(rows, lambda x: F.split(x, "\t"))
+    blocks = blocks.select("v", cells.alias("c")).filter(F.size("c") > 0)
+    words = F.transform("c", lambda x: F.get(x, F.lit(1)))
+    blocks = blocks.withColumn("words", words).withColumn("text", F.array_join("words", " "))
+    # a fold that carries the place of the next token, as in pseudo_parse
+    token = lambda acc, w: F.struct((F.size(acc["out"]) + 1).alias("idx"), w.alias("word"), acc["at"].alias("start"), (acc["at"] + F.length(w)).alias("end"))
+    tokens = F.aggregate("words", F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {TOKEN})").alias("out")), lambda acc, w: F.struct((acc["at"] + F.length(w) + 1).alias("at"), F.concat(acc["out"], F.array(token(acc, w))).alias("out")), lambda acc: acc["out"])
+    edges = F.filter(F.transform("c", lambda x: F.struct(F.get(x, F.lit(6)).try_cast("int").alias("tail"), F.get(x, F.lit(0)).try_cast("int").alias("head"), F.get(x, F.lit(7)).alias("label"))), lambda e: e["tail"].isNotNull())
+    named = F.regexp_extract("v", r"(?m)^# sent_id = (.*)$", 1)
+    return valid_annotations(blocks.select(F.when(named != "", named).otherwise(F.sha2("text", 224)).alias("sentence_id"), "text", tokens.alias("tokens"), edges.alias("edges")))
+
+
 def valid_annotations(rows: DataFrame) -> DataFrame:
     """At least one dependency, and a root among them."""
     return rows.filter((F.size("edges") > 0) & F.exists("edges", lambda e: e["tail"] == 0))

@@ -51,3 +51,13 @@ def most_common(a: DataFrame, k: int | None = None) -> DataFrame:
 def lookup(a: DataFrame, wanted: DataFrame) -> DataFrame:
     """Counts of wanted(elem); 0 for elements that a lacks."""
     return wanted.select("elem").distinct().join(a, "elem", "left").na.fill(0, ["n"])
+
+
+def discard(a: DataFrame, gone: DataFrame) -> DataFrame:
+    """Counts without the elements of gone(elem); one that a lacks does not matter."""
+    return a.join(gone.select("elem").distinct(), "elem", "left_anti")
+
+
+def as_text(a: DataFrame) -> DataFrame:
+    """Rows (text), most frequent first: how a multiset reads."""
+    return most_common(a).select(F.concat_ws(": ", F.col("elem"), F.col("n").cast("string")).alias("text"))

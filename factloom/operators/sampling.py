@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.functions.wikitext import remove_markup
+
 
 def draw(key: Column | str, seed: int) -> Column:
     """A hexadecimal string that orders rows at random; another engine can compute it too."""
@@ -28,16 +32,31 @@ def sample_per_group(rows: DataFrame, group: str, key: str, k: int, seed: int) -
     return rows.withColumn("_rank", F.row_number().over(by)).filter(F.col("_rank") <= k).drop("_rank")
 
 
-def weighted_choice(items: DataFrame, draws: DataFrame, seed: int) -> DataFrame:
+def sample_pages(pages: DataFrame, n: int, seed: int, least: int = 0, clean: bool = False) -> DataFrame:
+    """n pages of each language (or all) out of those that are accepted: at least ``least`` bytes, without markup if ``clean``."""
+    if clean:
+        pages = pages.withColumn("text", remove_markup(F.col("text")))
+    return sample_per_group(pages.filter(F.octet_length("text") >= least), "lang", "page_id", n, seed)
+
+
+def random_subjects(triples: DataFrame, n: int, seed: int) -> DataFrame:
+    """n distinct subjects of a table of facts (or all), without replacement."""
+    return exact_sample(triples.select("subject").distinct(), "subject", n, seed)
+
+
+def weighted_choice(items: DataFrame, draws: DataFrame, seed: int, cells: int = 4096) -> DataFrame:
     """For each of draws(draw_id) one of items(item, weight), with replacement: rows (draw_id, item).
 
-    The cumulative weights are a table of intervals; items are few, and a draw meets them by a range join."""
-    order = Window.orderBy("item").rowsBetween(Window.unboundedPreceding, 0)
+    Cumulative weights make an interval for each item. The unit interval is cut into cells; a draw meets the intervals that
+    touch its cell by an equi-join, so neither side is broadcast unless it is small."""
+    order = Window.orderBy("item").rowsBetween(Window.unboundedPreceding, 0)  # one task sees the items, not the draws
     every = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     positive = items.filter("weight > 0").select("item", F.col("weight").cast("double"), F.sum(F.col("weight").cast("double")).over(order).alias("upto"), F.sum(F.col("weight").cast("double")).over(every).alias("all"))
     cdf = positive.select("item", ((F.col("upto") - F.col("weight")) / F.col("all")).alias("low"), (F.col("upto") / F.col("all")).alias("high"))
-    u = draws.select("draw_id", uniform("draw_id", seed).alias("u"))
-    return u.join(cdf, (F.col("u") >= F.col("low")) & (F.col("u") < F.col("high"))).select("draw_id", "item")
+    cell = lambda c: F.floor(F.col(c) * cells)
+    cdf = cdf.withColumn("cell", F.explode(F.sequence(cell("low"), cell("high"))))
+    u = draws.select("draw_id", uniform("draw_id", seed).alias("u")).withColumn("cell", cell("u"))
+    return u.join(cdf, "cell").filter((F.col("u") >= F.col("low")) & (F.col("u") < F.col("high"))).select("draw_id", "item")
 
 
 def partition_exact(rows: DataFrame, key: str, weights: list[float], seed: int) -> DataFrame:
@@ -72,8 +91,8 @@ def partition_probabilistic(rows: DataFrame, key: str, weights: list[float], see
     return rows.withColumn("_u", uniform(key, seed)).withColumn("part", part).drop("_u")
 
 
-def segment_documents(pages: DataFrame, languages: DataFrame, n_docs: int, n_segments: int, seed: int, exclude: DataFrame | None = None) -> DataFrame:
-    """Documents of n_segments pieces: rows (docid, doc, classes).
+def segment_documents(pages: DataFrame, languages: DataFrame, n_docs: int, n_segments: int, seed: int, exclude: DataFrame | None = None, transform: Callable[[Column], Column] = lambda text: text) -> DataFrame:
+    """Documents of n_segments pieces: rows (docid, doc, classes). Texts go through ``transform`` first.
 
     Each segment draws a language from languages(item, weight), takes that language's next unused page of
     pages(page_id, lang, text), and keeps its share of the page by position. exclude(page_id) is not used.
@@ -84,8 +103,10 @@ def segment_documents(pages: DataFrame, languages: DataFrame, n_docs: int, n_seg
     slots = spark.range(n_docs * n_segments).select(F.col("id").alias("draw_id"))
     chosen = weighted_choice(languages, slots, seed).withColumnRenamed("item", "lang")
     turn = F.row_number().over(Window.partitionBy("lang").orderBy("draw_id"))
-    supply = pages.withColumn("turn", F.row_number().over(Window.partitionBy("lang").orderBy(draw("page_id", seed), "page_id")))
-    took = chosen.withColumn("turn", turn).join(supply, ["lang", "turn"])
+    # ids alone are ranked, and of each language only as many as there are slots stay on any task; texts join what is left
+    supply = sample_per_group(pages.select("lang", "page_id"), "lang", "page_id", n_docs * n_segments, seed)
+    supply = supply.withColumn("turn", F.row_number().over(Window.partitionBy("lang").orderBy(draw("page_id", seed), "page_id")))
+    took = chosen.withColumn("turn", turn).join(supply, ["lang", "turn"]).join(pages.select("lang", "page_id", transform(F.col("text")).alias("text")), ["lang", "page_id"])
     k = F.col("draw_id") % n_segments
     start, end = F.floor(F.length("text") * k / n_segments), F.floor(F.length("text") * (k + 1) / n_segments)
     piece = F.col("text").substr((start + 1).cast("int"), (end - start).cast("int"))
@@ -93,3 +114,8 @@ def segment_documents(pages: DataFrame, languages: DataFrame, n_docs: int, n_seg
     docs = parts.groupBy("doc").agg(F.sort_array(F.collect_list("s")).alias("s")).filter(F.size("s") == n_segments)
     join = lambda f, sep: F.array_join(F.transform("s", f), sep)
     return docs.select(join(lambda x: x["page_id"].cast("string"), "-").alias("docid"), join(lambda x: x["piece"], "").alias("doc"), F.transform("s", lambda x: x["lang"]).alias("classes"))
+
+
+def ceil_half(values: Column) -> Column:
+    """The first half of an array; of an odd number of elements, the larger half."""
+    return F.slice(values, 1, F.ceil(F.size(values) / 2).cast("int"))

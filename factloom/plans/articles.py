@@ -5,22 +5,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.text import admissible, split_sentences
-from factloom.functions.wikitext import clean, compact, drop_section_titles, expand_templates
+from factloom.functions.text import admissible, ascii_fold, split_sentences
+from factloom.functions.wikitext import clean, compact, compact_with_sections, drop_section_titles, expand_templates
 from factloom.functions.wording import English, Locale
 from factloom.operators.naive import context_counts, context_rows, subject_coverage, top_contexts
 from factloom.operators.triples import without_ignored
+from factloom.sources.dumps import ExtractOptions
 
 
-def article_text(pages: DataFrame, titles: DataFrame) -> DataFrame:
-    """Pages of the work-list titles(title); a title without a page is left out."""
-    return titles.select("title").distinct().join(pages, "title").withColumn("text", F.coalesce("text", F.lit("")))
+def article_text(pages: DataFrame, titles: DataFrame, fold: bool = False) -> DataFrame:
+    """Pages of the work-list titles(title); a title without a page is left out. With ``fold``, titles meet by their letters
+    without marks and in ASCII, and pages keep their own titles."""
+    titles = titles.select("title").distinct()
+    if fold:
+        key = titles.select(ascii_fold("title").alias("_key")).distinct()
+        found = pages.withColumn("_key", ascii_fold("title")).join(key, "_key").drop("_key")
+    else:
+        found = titles.join(pages, "title")
+    return found.withColumn("text", F.coalesce("text", F.lit("")))
 
 
-def paragraph_rows(pages: DataFrame, templates: bool = True) -> DataFrame:
+def paragraphs_of(text: Column, sections: bool = False, links: bool = False) -> Column:
+    """Cleaned paragraphs of an article's markup; headers and list items, or links, stay as HTML if asked for."""
+    return (compact_with_sections if sections else compact)(clean(text, links))
+
+
+def paragraph_rows(pages: DataFrame, templates: bool = True, sections: bool = False, links: bool = False) -> DataFrame:
     """Rows (title, para_no, text) of cleaned paragraphs, from 1."""
     text: Column = expand_templates(F.col("text")) if templates else F.col("text")
-    return pages.select("title", F.posexplode(compact(clean(text))).alias("at", "text")).select("title", (F.col("at") + 1).alias("para_no"), "text")
+    return pages.select("title", F.posexplode(paragraphs_of(text, sections, links)).alias("at", "text")).select("title", (F.col("at") + 1).alias("para_no"), "text")
+
+
+def article_documents(pages: DataFrame, options: ExtractOptions) -> DataFrame:
+    """Pages (page_id, title, text) with text as cleaned paragraphs, one in a line."""
+    lines = paragraphs_of(F.col("text"), options.keep_sections, options.keep_links)
+    return pages.select("page_id", "title", F.array_join(lines, "\n").alias("text"))
 
 
 def sentence_rows(paragraphs: DataFrame, locale: Locale | None = None) -> DataFrame:
@@ -32,7 +51,7 @@ def sentence_rows(paragraphs: DataFrame, locale: Locale | None = None) -> DataFr
 
 def sentence_population(pages: DataFrame, titles: DataFrame) -> DataFrame:
     """All sentences of the listed articles that a parser would take."""
-    return sentence_rows(paragraph_rows(article_text(pages, titles))).filter(admissible(F.col("sentence")))
+    return sentence_rows(paragraph_rows(article_text(pages, titles))).filter(admissible(F.col("sentence"), decompose=True))
 
 
 def naive_harvest(facts: DataFrame, pages: DataFrame, titles: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:

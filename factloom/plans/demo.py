@@ -88,7 +88,7 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """sentences(article, lang, sentence_id, sentence): the admissible lines of documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("at", "sentence"))
-    rows = docs.select(F.col("doc_id").alias("article"), "lang", (F.col("doc_id") * 100000 + F.col("at")).alias("sentence_id"), "sentence")
+    rows = docs.select(F.col("doc_id").alias("article"), "lang", (F.col("doc_id") * 1000000000 + F.col("at")).alias("sentence_id"), "sentence")
     return rows.filter(admissible(F.col("sentence")) & (F.trim("sentence") != ""))
 
 
@@ -118,3 +118,21 @@ def markup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("[[Category:"), F.col("p_brand"), F.lit("|*]] [[Category:"), F.col("p_type"), F.lit("|*]] [[Category:Bare]] [[de:"), name, F.lit("]]"),
     )
     return rows.select(F.col("p_partkey").alias("page_id"), F.when(F.col("p_partkey") % 3 == 0, "de").otherwise("en").alias("lang"), name.alias("title"), text.alias("text"))
+
+
+def article_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages(page_id, lang, title, text): documents as articles in wiki markup, their lines as paragraphs with bold and italic
+    words, links, templates, lists, comments, headers and formulas, each at places that follow from the line's number."""
+    docs = table(spark, sf_dir, "documents")
+    first, rest = (lambda s: F.split_part(s, F.lit(" "), F.lit(1))), (lambda s: s.substr(F.length(F.split_part(s, F.lit(" "), F.lit(1))) + 1, F.length(s)))
+
+    def dressed(s: Column, i: Column) -> Column:
+        put = lambda before, after: F.concat(F.lit(before), first(s), F.lit(after), rest(s))
+        return (
+            F.when(i % 7 == 0, put("'''", "'''")).when(i % 7 == 1, put("[[Page of|", "]]")).when(i % 7 == 2, put("{{note|x}}", "<!-- no -->"))
+            .when(i % 7 == 3, put("* ", "")).when(i % 7 == 4, put("''", "''")).when(i % 7 == 5, F.concat(F.lit("== Part ==\n"), s)).otherwise(put("key: ", " <math>x</math>"))
+        )
+
+    lines = F.transform(F.split("text", "\n"), dressed)
+    text = F.concat(F.array_join(lines, "\n\n"), F.lit("\n\n[[de:Seite]]"))
+    return docs.select(F.col("doc_id").alias("page_id"), "lang", F.col("source").alias("title"), text.alias("text"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.functions.fixed import IGNORED_PREDICATES, MONTHS, NAMESPACES, RAW_PROPERTY
+from factloom.functions.fixed import CLOSED_ELEMENT, DISCARDED, EITHER_TAG, IGNORED_PREDICATES, MONTHS, NAMESPACES, RAW_PROPERTY, SELF_CLOSING, TIDY_RULES, UNWRAPPED, WHOLE_ELEMENT
 
 ONT, RES, XSD, UNIT, RDFS, RDF = (NAMESPACES[k] for k in ("dbpedia-owl", "dbpedia", "xsd", "dbpdatatype", "rdfs", "rdf"))
 IGNORED = ", ".join(f"'{p}'" for p in IGNORED_PREDICATES)
@@ -93,7 +93,7 @@ MARKUP = """markup AS (SELECT p_partkey AS page_id, CASE WHEN p_partkey % 3 = 0
   FROM part JOIN nation ON p_partkey % 25 = n_nationkey)"""
 TITLE = "regexp_matches(w, '^[^\\p{L}]*\\p{Lu}\\p{Ll}*([^\\p{L}]+\\p{Lu}\\p{Ll}*)*[^\\p{L}]*$')"
 _ADMIT = "lower(s) NOT IN ('q', 'eof') AND length(s) < 1000 AND length(regexp_replace(s, '[^,]', '', 'g')) <= 30"
-LINES = f"""lines AS (SELECT doc_id AS article, lang, doc_id * 100000 + k - 1 AS sentence_id, s FROM (
+LINES = f"""lines AS (SELECT doc_id AS article, lang, doc_id * 1000000000 + k - 1 AS sentence_id, s FROM (
   SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents)
   WHERE {_ADMIT} AND trim(s, ' ') <> '')"""
 TOKENS = f"""{LINES}, tok AS (SELECT article, sentence_id, i, w,
@@ -125,11 +125,81 @@ _U = lambda key, seed: f"CAST(('0x' || substr({_DRAW(key, seed)}, 1, 8)) AS BIGI
 _CHOICE = f"""w AS (SELECT lang AS item, count(*) AS weight FROM documents GROUP BY lang),
 cdf AS (SELECT item, (sum(CAST(weight AS DOUBLE)) OVER (ORDER BY item) - weight) / sum(CAST(weight AS DOUBLE)) OVER () AS low, sum(CAST(weight AS DOUBLE)) OVER (ORDER BY item) / sum(CAST(weight AS DOUBLE)) OVER () AS high FROM w),
 chosen AS (SELECT doc_id AS draw_id, item FROM (SELECT doc_id, {_U("doc_id", 11)} AS u FROM documents) JOIN cdf ON u >= low AND u < high)"""
+_LINE1 = lambda end: f"{FLOAT('p_size * 1.609344')} || ' km and ' || {FLOAT('p_size * 2.589988110336')} || ' km2, ' || title || ' as of 1999 1998-1999{end}'"
+# documents in wiki markup, as demo.article_markup makes them
+_FIRST, _REST = "split_part(s, ' ', 1)", "substr(s, length(split_part(s, ' ', 1)) + 1)"
+ARTICLES = f"""dressed AS (SELECT doc_id, lang, source, i, CASE i % 7
+    WHEN 0 THEN repeat(chr(39), 3) || {_FIRST} || repeat(chr(39), 3) || {_REST} WHEN 1 THEN '[[Page of|' || {_FIRST} || ']]' || {_REST}
+    WHEN 2 THEN '{{{{note|x}}}}' || {_FIRST} || '<!-- no -->' || {_REST} WHEN 3 THEN '* ' || s WHEN 4 THEN repeat(chr(39), 2) || {_FIRST} || repeat(chr(39), 2) || {_REST}
+    WHEN 5 THEN '== Part ==' || chr(10) || s ELSE 'key: ' || {_FIRST} || ' <math>x</math>' || {_REST} END AS s
+  FROM (SELECT doc_id, lang, source, unnest(ls) AS s, generate_subscripts(ls, 1) - 1 AS i FROM (SELECT *, string_split(text, chr(10)) AS ls FROM documents))),
+articles AS (SELECT doc_id AS page_id, lang, source AS title, string_agg(s, chr(10) || chr(10) ORDER BY i) || chr(10) || chr(10) || '[[de:Seite]]' AS text FROM dressed GROUP BY ALL)"""
+
+
+def _replaced(x, *rules):
+    """x after each (pattern, replacement), everywhere."""
+    for pattern, new in rules:
+        x = f"regexp_replace({x}, '{pattern}', {new}, 'g')"
+    return x
+
+
+_SPACES = r"^\s+|\s+$"
+_ONE = "'\\1'"
+#: Three or two apostrophes on either side, each doubled inside a literal.
+_BOLD, _ITALIC = (2 * k * chr(39) + "(.*?)" + 2 * k * chr(39) for k in (3, 2))
+BARE = f"""bare AS (SELECT page_id, lang, {_replaced("text", ("#REDIRECT .*", "''"), (r"\[\[[a-z]{2,3}(?:-[a-z]+)*:.+?\]\]", "''"), (r"\{\{.*?\}\}", "''"), (r"\[\[(?:[^\]]*?\|)?(.*?)\]\]", _ONE), (chr(92) + "n" + chr(92) + "n+", "chr(10) || chr(10)"), (_SPACES, "''"))} AS t FROM articles),
+paragraphs AS (SELECT page_id, lang, i, {_replaced("p", ("\\s", "' '"))} AS p FROM (SELECT page_id, lang, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM (SELECT page_id, lang, string_split(t, chr(10) || chr(10)) AS ps FROM bare))),
+prose AS (SELECT page_id, lang, i, trim({_replaced("p", (_BOLD, _ONE), (_ITALIC, _ONE))}, ' ') AS p FROM paragraphs WHERE __PROSE__),
+cleaned AS (SELECT page_id, any_value(lang) AS lang, coalesce(string_agg(p, chr(10) || chr(10) ORDER BY i), '') || chr(10) AS text FROM (SELECT articles.page_id, articles.lang, i, p FROM articles LEFT JOIN prose USING (page_id)) GROUP BY page_id)"""
 _DATES = lambda x: f"regexp_replace(regexp_replace(regexp_replace({x}, '(\\d{{1,2}})\\s+({'|'.join(MONTHS)})\\s+(\\d{{2,4}})', '\\2 \\1, \\3', 'g'), '(\\d{{1,2}})\\s+({'|'.join(MONTHS)})', '\\2 \\1', 'g'), '<[^>]+>', '', 'g')"
 _COMMENTS = "regexp_replace(html, '(?s)<!--.*?-->', '', 'g')"
 _KEYWORDS = "Category|Catégorie|Kategorie|Categoria|Категория|Kategoria|Categorie|Kategori"
 
+_PROSE = f"NOT (regexp_matches(p, '^[\\p{{L}}\\p{{N}}_-]+:') OR regexp_matches(p, '^[\\p{{L}}\\p{{N}}_]+=') OR regexp_matches(p, '[|{{}}*#<(:;]|==') OR regexp_matches(p, '(?:{_KEYWORDS}):.+'))"
+BARE = BARE.replace("__PROSE__", _PROSE)
+_ENTITIES = lambda x: f"replace(replace(replace(replace({x}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&')"
+_HTML = _replaced(
+    _ENTITIES(_ENTITIES("html")), ("(?s)<!--.*?-->", "''"), (CLOSED_ELEMENT.format("|".join(SELF_CLOSING)), "''"), (EITHER_TAG.format("|".join(UNWRAPPED)), "''"), *[(WHOLE_ELEMENT.format(t), "''") for t in DISCARDED],
+    *[(p, {"": "''", "\n": "chr(10)"}.get(n, f"'{n}'")) for p, n in TIDY_RULES],
+)
+_SENTENCES = _replaced("text", (r'([.!?])"(\S)', "'\\1\" \\2'"), (r"\b(Mr|Mrs|Ms|Dr|Prof|St|Jr|Sr|vs|etc|e\.g|i\.e|[A-Z])\.(\s)", "'\\1' || chr(1) || '\\2'"), (r'([.!?]"?)\s+', "'\\1' || chr(2)"))
+_CELL = lambda x: f"replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
 ORACLES: dict[str, str] = {
+    "ntriples_read": f"WITH {TRIPLES} SELECT p, o_type, o_datatype, o_lang, count(*) AS n, min(o_value) AS least, max(o_value) AS most FROM triples GROUP BY ALL",
+    "solutions_read": "SELECT 'http://ex/s' AS subject, 'http://ex/' || n_nationkey AS p, 'literal' AS o_type, n_name AS o_value, CAST(NULL AS VARCHAR) AS o_datatype, 'en' AS o_lang FROM nation",
+    "random_subjects": f"WITH {TRIPLES} SELECT subject FROM (SELECT DISTINCT subject FROM triples) ORDER BY md5('3:' || subject), subject LIMIT 100",
+    "reject_reasons": "SELECT lang, CASE WHEN lower(s) IN ('q', 'eof') THEN 'command' WHEN length(s) >= 200 THEN 'too long' WHEN length(regexp_replace(s, '[^,]', '', 'g')) > 8 THEN 'too many commas' END AS reason, count(*) AS n FROM (SELECT lang, unnest(string_split(text, chr(10))) AS s FROM documents) GROUP BY ALL",
+    "first_halves": "SELECT doc_id, md5(array_to_string(w[1 : (len(w) + 1) // 2], ' ')) AS digest FROM (SELECT doc_id, regexp_split_to_array(text, '[ \\n]+') AS w FROM documents)",
+    "page_numbers": "SELECT lang, doc_id AS page_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS ordinal FROM documents",
+    "sampled_pages": f"WITH {ARTICLES}, {BARE} SELECT page_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY {_DRAW('page_id', 9)}, page_id) AS r FROM cleaned WHERE octet_length(encode(text)) >= 400) WHERE r <= 20",
+    "article_markup_removed": f"WITH {ARTICLES}, {BARE} SELECT page_id, md5(text) AS digest FROM cleaned",
+    "markup_removed": f"WITH {MARKUP} SELECT page_id, chr(10) AS text FROM markup",
+    "multiset_discard": f"WITH {BAGS} SELECT * FROM a WHERE elem NOT IN (SELECT elem FROM b)",
+    "annotations_read": f"WITH {TOKENS} SELECT sentence_id, count(*) AS tokens, count(*) AS edges FROM tok GROUP BY sentence_id",
+    "compact_paragraphs": f"WITH {MARKUP} SELECT CAST(page_id AS VARCHAR) AS title, k AS para_no, CASE k WHEN 1 THEN {_LINE1(' ')} WHEN 2 THEN 'Size.' ELSE 'Built on 21 August 1999 and 3 January x.' END AS text FROM markup, (SELECT unnest([1, 2, 3]) AS k)",
+    "sentence_population": f"WITH {MARKUP} SELECT CAST(page_id AS VARCHAR) AS title, k AS para_no, 1 AS sent_no, CASE k WHEN 1 THEN {_LINE1('')} WHEN 2 THEN 'Size.' ELSE 'Built on August 21, 1999 and January 3 x.' END AS sentence FROM markup, (SELECT unnest([1, 2, 3]) AS k)",
+    "nested_templates_dropped": f"WITH {MARKUP} SELECT page_id, regexp_replace(text, '\\{{\\{{[^{{}}]*\\}}\\}}', '', 'g') AS text FROM markup",
+    "html_cleaned": f"SELECT page_id, length({_HTML}) AS length FROM pages",
+    "prose_paragraphs": f"SELECT doc_id, count(*) AS n, count(*) FILTER ({_PROSE}) AS prose FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS p FROM documents) WHERE length(p) > 20 GROUP BY doc_id",
+    "sentences_split": f"SELECT doc_id, count(*) AS sentences, max(length(s)) AS longest FROM (SELECT doc_id, trim(unnest(string_split({_SENTENCES}, chr(2))), ' ') AS s FROM documents) WHERE s <> '' GROUP BY doc_id",
+    "predicate_report": f"""WITH {CONTEXTS}, top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY p, side ORDER BY n DESC, string) AS rank FROM counts) WHERE rank <= 5),
+      cells AS (SELECT p, string_agg('<tr><td>' || side || '</td><td>' || {_CELL("string")} || '</td><td>' || n || '</td></tr>', '' ORDER BY side, rank) AS c FROM top GROUP BY p),
+      tables AS (SELECT p, '<h2>' || {_CELL("p")} || '</h2><table>' || coalesce(c, '') || '</table>' AS t, row_number() OVER (ORDER BY p) - 1 AS k FROM (SELECT DISTINCT p FROM facts WHERE wording IS NOT NULL AND p NOT IN ({IGNORED})) LEFT JOIN cells USING (p))
+      SELECT k // 10 AS page, string_agg(t, chr(10) ORDER BY k) AS html FROM tables GROUP BY page""",
+    "segment_documents": f"""WITH w AS (SELECT lang AS item, count(*) AS weight FROM documents GROUP BY lang),
+      cdf AS (SELECT item, (sum(CAST(weight AS DOUBLE)) OVER (ORDER BY item) - weight) / sum(CAST(weight AS DOUBLE)) OVER () AS low, sum(CAST(weight AS DOUBLE)) OVER (ORDER BY item) / sum(CAST(weight AS DOUBLE)) OVER () AS high FROM w),
+      slots AS (SELECT id, item AS lang, row_number() OVER (PARTITION BY item ORDER BY id) AS turn FROM (SELECT id, {_U("id", 13)} AS u FROM (SELECT unnest(range(400)) AS id)) JOIN cdf ON u >= low AND u < high),
+      supply AS (SELECT lang, doc_id, text, row_number() OVER (PARTITION BY lang ORDER BY {_DRAW("doc_id", 13)}, doc_id) AS turn FROM documents),
+      parts AS (SELECT id // 2 AS doc, id % 2 AS k, doc_id, lang, substr(text, CAST(length(text) * (id % 2) // 2 AS INT) + 1, CAST(length(text) * (id % 2 + 1) // 2 - length(text) * (id % 2) // 2 AS INT)) AS piece FROM slots JOIN supply USING (lang, turn))
+      SELECT string_agg(CAST(doc_id AS VARCHAR), '-' ORDER BY k) AS docid, length(string_agg(piece, '' ORDER BY k)) AS length, string_agg(lang, '|' ORDER BY k) AS classes FROM parts GROUP BY doc HAVING count(*) = 2""",
+    "pattern_dot": f"""WITH {HARVEST}, e AS (SELECT DISTINCT h.hash, e.predicate, tail, head, label FROM edges e JOIN harvested h ON h.sentence_id = e.sentence_id AND h.predicate = e.predicate AND h.subject_wording = e.subject_wording AND h.object_wording = e.object_wording AND h.o = e.o)
+      SELECT hash, md5('digraph "' || predicate || '" {{' || chr(10) || string_agg('"' || tail || '" -> "' || head || '" [label="' || label || '"];', chr(10) ORDER BY tail, head, label) || chr(10) || '}}') AS dot, NOT bool_or(contains(tail || head, '"')) AS whole FROM e GROUP BY hash, predicate""",
+    "match_gallery": f"""WITH {HARVEST}, d AS (SELECT DISTINCT subject_wording, predicate, object_wording, sentence FROM full_), r AS (SELECT *, row_number() OVER (PARTITION BY subject_wording, predicate, object_wording ORDER BY sentence) AS r FROM d),
+      s AS (SELECT subject_wording, predicate, object_wording, string_agg('<q>' || {_CELL("sentence")} || '</q>', ' ' ORDER BY sentence) FILTER (r <= 5) AS said, greatest(count(*) - 5, 0) AS more FROM r GROUP BY ALL),
+      i AS (SELECT predicate, row_number() OVER (PARTITION BY predicate ORDER BY subject_wording, object_wording) - 1 AS k, '<li>' || {_CELL("subject_wording")} || ' – ' || {_CELL("object_wording")} || ': ' || replace(said, '"', '&quot;') || CASE WHEN more > 0 THEN ' and ' || more || ' more' ELSE '' END || '</li>' AS html FROM s),
+      g AS (SELECT predicate, k // 10 AS page, string_agg(html, '' ORDER BY k) AS items FROM i GROUP BY ALL)
+      SELECT predicate, page, md5('<h1>Statements: ' || {_CELL("predicate")} || '</h1><p>' || CASE WHEN page > 0 THEN '<a href="' || (page - 1) || '.html">previous</a> ' ELSE '' END || CASE WHEN page < max(page) OVER (PARTITION BY predicate) THEN '<a href="' || (page + 1) || '.html">next</a> ' ELSE '' END || '</p><ul>' || items || '</ul>') AS html FROM g""",
     "triples_distinct_filtered": f"WITH {TRIPLES} SELECT p, o_type, count(*) AS n, count(DISTINCT subject) AS subjects FROM (SELECT DISTINCT * FROM triples WHERE p NOT IN ({IGNORED}) AND NOT starts_with(p, '{RAW_PROPERTY}')) GROUP BY ALL",
     "language_filter": f"WITH {TRIPLES} SELECT p, count(*) AS n FROM triples WHERE coalesce(lower(o_lang) IN ('en', '') OR starts_with(lower(o_lang), 'en-'), false) OR o_type = 'uri' OR (o_datatype IS NOT NULL AND o_datatype <> '{XSD}string') GROUP BY p",
     "predicate_values": f"WITH {TRIPLES} SELECT DISTINCT subject, o_value FROM triples WHERE p = '{ONT}balance'",

@@ -14,7 +14,7 @@ from factloom.operators import corpus, depgraph, gallery, multiset, naive, sampl
 from factloom.operators import triples as facts
 from factloom.plans import articles, demo, harvest, match
 from factloom.plans.demo import ONT, table
-from factloom.sources import dumps, stores
+from factloom.sources import answers, dumps, stores
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -85,7 +85,9 @@ def predicates_between_labels(spark, sf):
     labels, redirects, _ = demo.names(spark, sf)
     t = demo.triples(spark, sf)
     subject = table(spark, sf, "nation").select(F.concat(F.lit("http://ex/nation/"), F.col("n_nationkey")).alias("iri"), F.col("n_name").alias("label"), F.lit("en").alias("lang"))
-    pairs = table(spark, sf, "nation").crossJoin(table(spark, sf, "region")).select(F.col("n_name").alias("subject_label"), F.col("r_name").alias("object_label"))
+    # each nation with its own region and with another one
+    regions = F.explode(F.array(F.col("n_regionkey"), (F.col("n_regionkey") + 1) % 5)).alias("r_regionkey")
+    pairs = table(spark, sf, "nation").select("n_name", regions).join(table(spark, sf, "region"), "r_regionkey").select(F.col("n_name").alias("subject_label"), F.col("r_name").alias("object_label"))
     return facts.predicates_between(pairs, t, labels.unionByName(subject), redirects, "en")
 
 
@@ -101,6 +103,29 @@ def unworded_triples(spark, sf):
     return facts.unworded(t, F.lit(None).cast("string")).select("p", "n", F.size("objects").alias("objects"))
 
 
+@query
+def ntriples_read(spark, sf):
+    """Facts written as lines of N-Triples, and read again."""
+    t = demo.triples(spark, sf)
+    literal = F.concat(F.lit('"'), F.col("o_value"), F.lit('"'), F.coalesce(F.concat(F.lit("^^<"), F.col("o_datatype"), F.lit(">")), F.concat(F.lit("@"), F.col("o_lang")), F.lit("")))
+    value = F.when(F.col("o_type") == "uri", F.concat(F.lit("<"), F.col("o_value"), F.lit(">"))).otherwise(literal)
+    lines = t.select(F.concat(F.lit("<"), F.col("subject"), F.lit("> <"), F.col("p"), F.lit("> "), value, F.lit(" .")).alias("value"))
+    return answers.ntriples(lines).groupBy("p", "o_type", "o_datatype", "o_lang").agg(F.count("*").alias("n"), F.min("o_value").alias("least"), F.max("o_value").alias("most"))
+
+
+@query
+def solutions_read(spark, sf):
+    """Nations as the solutions of one stored answer of a query service for each region."""
+    n = table(spark, sf, "nation").select(F.col("n_regionkey").alias("r"), F.struct(F.struct(F.lit("uri").alias("type"), F.concat(F.lit("http://ex/"), F.col("n_nationkey")).alias("value")).alias("p"), F.struct(F.lit("literal").alias("type"), F.col("n_name").alias("value"), F.lit("en").alias("xml:lang")).alias("o")).alias("b"))
+    bodies = n.groupBy("r").agg(F.to_json(F.struct(F.struct(F.collect_list("b").alias("bindings")).alias("results"))).alias("body"))
+    return answers.triples_of(answers.bindings(bodies, ["p", "o"]), "http://ex/s").drop("label")
+
+
+@query
+def random_subjects(spark, sf):
+    return sampling.random_subjects(demo.triples(spark, sf), 100, 3)
+
+
 # wordings -------------------------------------------------------------------------------------------------
 
 
@@ -164,6 +189,18 @@ def sentence_guard(spark, sf):
     return rows.groupBy("lang").agg(F.count_if(tx.admissible(F.col("s"))).alias("taken"), F.count_if(~tx.admissible(F.col("s"))).alias("refused"))
 
 
+@query
+def reject_reasons(spark, sf):
+    rows = table(spark, sf, "documents").select("lang", F.explode(F.split("text", "\n")).alias("s"))
+    return rows.groupBy("lang", tx.reject_reason(F.col("s"), 200, 8).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query
+def first_halves(spark, sf):
+    words = F.split("text", "[ \n]+")
+    return table(spark, sf, "documents").select("doc_id", F.md5(F.array_join(sampling.ceil_half(words), " ")).alias("digest"))
+
+
 @query
 def sentences_split(spark, sf):
     rows = table(spark, sf, "documents").select("doc_id", F.explode(tx.split_sentences(F.col("text"))).alias("s"))
@@ -239,6 +276,18 @@ def markup_removed(spark, sf):
     return demo.markup(spark, sf).select("page_id", wt.remove_markup(F.col("text")).alias("text"))
 
 
+@query
+def article_markup_removed(spark, sf):
+    return demo.article_markup(spark, sf).select("page_id", F.md5(wt.remove_markup(F.col("text"))).alias("digest"))
+
+
+@query
+def article_documents(spark, sf):
+    """Documents with headers, list items and links kept."""
+    options = dumps.ExtractOptions(keep_sections=True, keep_links=True)
+    return articles.article_documents(demo.article_markup(spark, sf), options).select("page_id", F.md5("text").alias("digest"))
+
+
 @query
 def prose_paragraphs(spark, sf):
     p = table(spark, sf, "documents").select("doc_id", F.explode(wt.paragraphs(F.replace("text", F.lit("\n"), F.lit("\n\n")), 20)).alias("p"))
@@ -282,7 +331,7 @@ def title_index(spark, sf):
 @query
 def page_lookup(spark, sf):
     pages = corpus.first_of_title(demo.markup(spark, sf))
-    titles = table(spark, sf, "nation").select(F.lit("red widget").alias("title")).distinct()
+    titles = spark.createDataFrame([("red widget",)], "title string")
     return articles.article_text(pages, titles).select("title", "page_id", F.length("text").alias("length"))
 
 
@@ -293,6 +342,18 @@ def article_filter(spark, sf):
     return dumps.articles(pages).select("page_id", "title")
 
 
+@query
+def page_numbers(spark, sf):
+    return dumps.numbered(_pages(spark, sf)).select("lang", "page_id", "ordinal")
+
+
+@query
+def sampled_pages(spark, sf):
+    """Pages of at least 400 bytes once their markup is gone."""
+    pages = demo.article_markup(spark, sf).select("page_id", "lang", "text")
+    return sampling.sample_pages(pages, 20, 9, 400, clean=True).select("page_id", "lang")
+
+
 @query
 def dump_stats(spark, sf):
     return corpus.dump_statistics(demo.markup(spark, sf))
@@ -415,6 +476,11 @@ def multiset_lookup(spark, sf):
     return multiset.lookup(a, b)
 
 
+@query
+def multiset_discard(spark, sf):
+    return multiset.discard(*_bags(spark, sf))
+
+
 # samples --------------------------------------------------------------------------------------------------
 
 
@@ -465,6 +531,13 @@ def dep_edges(spark, sf):
     return depgraph.dep_edges(demo.annotations(spark, sf)).groupBy("label", "tail").agg(F.count("*").alias("n"))
 
 
+@query
+def annotations_read(spark, sf):
+    """Annotated sentences written as a parser's JSON, and read again."""
+    again = depgraph.parse_annotations(match.written(depgraph.annotation_json(match.written(demo.annotations(spark, sf)))))
+    return again.select(F.col("sentence_id").cast("long").alias("sentence_id"), F.size("tokens").alias("tokens"), F.size("edges").alias("edges"))
+
+
 @query
 def root_paths(spark, sf):
     rows = demo.annotations(spark, sf).select("sentence_id", F.explode(depgraph.root_paths("edges")).alias("p"))
@@ -511,10 +584,10 @@ def pattern_steps(spark, sf):
 
 
 def _matched(spark, sf):
-    h, sentences = _harvested(spark, sf).persist(), demo.annotations(spark, sf).persist()
+    h, sentences = match.written(_harvested(spark, sf)), match.written(demo.annotations(spark, sf))
     phrases = match.edge_rows(sentences).select(F.col("wording").alias("label")).distinct()
     labels, redirects, types = demo.names(spark, sf)
-    classes = facts.classes_of(phrases, labels, redirects, types, "en").persist()
+    classes = match.written(facts.classes_of(phrases, labels, redirects, types, "en"))
     return match.match(sentences, harvest.patterns_of(h, classes), classes, bits=256), harvest.pattern_sources(h)
 
 
@@ -545,6 +618,12 @@ def gallery_pages(spark, sf):
     return articles.pages_of(rows, ["predicate"], 2)
 
 
+@query
+def match_gallery(spark, sf):
+    h = _harvested(spark, sf).withColumn("pattern", F.col("hash"))
+    return gallery.match_gallery(h).select("predicate", "page", F.md5("html").alias("html"))
+
+
 @query
 def gallery_sources_top5(spark, sf):
     h = _harvested(spark, sf).withColumn("pattern", F.col("hash"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import configparser
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.fixed import ACCEPTED_NAMESPACES, RAW_PROPERTY
@@ -15,15 +16,29 @@ DUMP_NAME = r"([^/]*?)wiki-(\d{8})-pages-articles\.xml"
 
 @dataclass(frozen=True)
 class ExtractOptions:
-    """Options of a text extraction run."""
+    """Options of a text extraction run: see ``articles.article_documents`` and ``stores.write_docs``."""
 
-    namespaces: list[str] = field(default_factory=lambda: list(ACCEPTED_NAMESPACES))
+    namespaces: tuple[str, ...] = tuple(ACCEPTED_NAMESPACES)
     keep_sections: bool = False
+    keep_links: bool = False
     compression: str = "none"
     records_per_file: int = 100_000
     prefix: str = "http://en.wikipedia.org/wiki"
 
 
+def read_options(path: str | None = None, given: dict | None = None) -> ExtractOptions:
+    """Options out of the section [extract] of an INI file, if there is one; those given prevail."""
+    known, found = ExtractOptions(), {}
+    if path:
+        file = configparser.ConfigParser()
+        with open(path) as lines:
+            file.read_file(lines)
+        for name, value in file["extract"].items():
+            kind = type(getattr(known, name))
+            found[name] = file["extract"].getboolean(name) if kind is bool else tuple(value.split(",")) if kind is tuple else kind(value)
+    return replace(known, **found | (given or {}))
+
+
 def read_dump(spark: SparkSession, path: str) -> DataFrame:
     """Rows (lang, page_id, title, redirect, text) of plain or bzip2 dumps; the language is the file name's prefix. The schema
     is given, so nothing is scanned to infer it. A null text is empty."""
@@ -45,10 +60,28 @@ def find_dumps(spark: SparkSession, folder: str, langs: list[str] | None = None)
     return rows if langs is None else rows.filter(F.col("lang").isin(langs))
 
 
-def articles(pages: DataFrame, namespaces: list[str] = ACCEPTED_NAMESPACES) -> DataFrame:
+def numbered(pages: DataFrame) -> DataFrame:
+    """Adds ordinal, from 0 in each language in the order of page_id; numbers are counted in ranges of page_id, so no task sorts a language."""
+    rows = pages.withColumn("_range", F.floor(F.col("page_id") / 10_000))
+    counts = rows.groupBy("lang", "_range").agg(F.count("*").alias("_m"))
+    before = Window.partitionBy("lang").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("lang", "_range", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_skip"))
+    rank = F.row_number().over(Window.partitionBy("lang", "_range").orderBy("page_id")) - 1
+    joined = rows.withColumn("_rank", rank).withColumnRenamed("lang", "_lang").withColumnRenamed("_range", "_r")
+    joined = joined.join(counts, joined._lang.eqNullSafe(counts.lang) & (joined._r == counts._range))
+    return joined.select(*pages.columns, (F.col("_rank") + F.col("_skip")).alias("ordinal"))
+
+
+def page_at(pages: DataFrame, ordinal: int, lang: str | None = None) -> DataFrame:
+    """The page with that number in its language (of each language, without one)."""
+    rows = numbered(pages).filter(F.col("ordinal") == ordinal)
+    return rows if lang is None else rows.filter(F.col("lang") == lang)
+
+
+def articles(pages: DataFrame, namespaces: list[str] | tuple[str, ...] = ACCEPTED_NAMESPACES) -> DataFrame:
     """Pages that are neither redirects nor in another namespace than the accepted ones."""
     space = F.split_part(F.col("title"), F.lit(":"), F.lit(1))
-    return pages.filter(F.col("redirect").isNull() & (~F.contains("title", F.lit(":")) | space.isin(namespaces)))
+    return pages.filter(F.col("redirect").isNull() & (~F.contains("title", F.lit(":")) | space.isin(list(namespaces))))
 
 
 def build_index(pages: DataFrame, path: str) -> None:

@@ -199,3 +199,132 @@ def test_upsert_and_stream(spark, tmp_path):
     stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).parquet(str(tmp_path / "in"))
     stream_statements(stream, harvest.patterns_of(got), harvest.pattern_sources(got), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     assert [r["object_wording"] for r in stores.current(spark, str(tmp_path / "out")).collect()] == ["Sweden"]
+
+
+def test_answers(spark, tmp_path):
+    from factloom.sources import answers
+
+    lines = ['<http://a> <http://p> "caf\\u00e9 \\U0001F600 \\"q\\""@fr .', '<http://a> <http://q> "5"^^<http://x#int> . # note', "_:b <http://p> <http://c> .", "not a triple", ""]
+    (tmp_path / "facts.nt").write_text("\n".join(lines))
+    got = {tuple(r) for r in answers.read_ntriples(spark, str(tmp_path / "facts.nt")).collect()}
+    assert got == {("http://a", "http://p", "literal", 'café 😀 "q"', None, "fr"), ("http://a", "http://q", "typed-literal", "5", "http://x#int", None), ("_:b", "http://p", "uri", "http://c", None, None)}
+    body = '{"results":{"bindings":[{"p":{"type":"uri","value":"http://p"},"o":{"type":"literal","value":"\\U000000e9t\\u00e9","xml:lang":"fr"}}]}}'
+    asked = []
+
+    def ask(query):
+        asked.append(query)
+        if len(asked) == 1:
+            raise ConnectionError
+        return body
+
+    for _ in range(2):
+        row = answers.triples_of(answers.bindings(answers.answer(spark, str(tmp_path / "store"), "SELECT", ask, pause=0), ["p", "o"]), "http://s").collect()
+    assert [tuple(r) for r in row] == [("http://s", "http://p", "literal", "été", None, "fr", None)] and asked == ["SELECT"] * 2
+    with pytest.raises(TimeoutError):
+        answers.patiently(lambda: __import__("time").sleep(5), seconds=0.05, pause=0, attempts=2)
+    with pytest.raises(ValueError):
+        answers.patiently(lambda: int("x"), pause=0)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from factloom import cli
+
+    page = "<page><title>{}</title><ns>0</ns><id>{}</id><revision><id>9</id><text xml:space='preserve'>{}</text></revision></page>"
+    text = "'''Bold''' [[Ort|place]] here.\n== Part ==\n* item\nMore {{x|y}} text.\n[[Kategorie:A|*]]"
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "dewiki-20120101-pages-articles.xml").write_text("<mediawiki>" + page.format("A", 1, text) + page.format("w:B", 2, "short") + page.format("Talk:C", 3, "no") + "</mediawiki>")
+    run = lambda *args: cli.main([args[0], str(folder), *args[1:]], spark)
+    run("list"), run("stats"), run("categories")
+    shown = capsys.readouterr().out
+    assert "dewiki-20120101" in shown and "de\t3\t1" in shown and "1    Kategorie:A" in shown
+    run("index", str(tmp_path / "index"))
+    assert spark.read.parquet(str(tmp_path / "index")).count() == 3
+    run("dataset", str(tmp_path / "set"), "-n", "1", "--minlen", "20")
+    assert "Bold" in "".join(r["value"] for r in spark.read.text(str(tmp_path / "set")).collect())
+    run("extract", str(tmp_path / "plain"))
+    (tmp_path / "o.ini").write_text("[extract]\nkeep_sections = yes\nprefix = http://x\nnamespaces = none\n")
+    run("extract", str(tmp_path / "rich"), "--options", str(tmp_path / "o.ini"), "-k", "-c")
+    read = lambda name: "\n".join(r["value"] for r in spark.read.option("wholetext", True).text(str(tmp_path / name)).collect())
+    plain, rich = read("plain"), read("rich")
+    assert "Bold place here.\nPart.\nMore text." in plain.replace("  ", " ") and "short" in plain and "item" not in plain
+    assert '<a href="Ort">place</a>' in rich and "<h2>Part</h2>\n<li> item</li>" in rich and "http://x?curid=1" in rich and "short" not in rich
+
+
+def test_titles_by_letters(spark):
+    from factloom.plans import articles
+
+    assert one(spark, tx.ascii_fold(F.lit("Straße Øre Łódź Ænima Ёж"))) == "Strasse Ore Lodz AEnima".replace("AE", one(spark, tx.ascii_fold(F.lit("Æ")))) + " " + one(spark, tx.ascii_fold(F.lit("Ёж")))
+    assert one(spark, tx.ascii_fold(F.lit("Жук"))).isascii() and one(spark, tx.ascii_fold(F.lit("Жук"))) != one(spark, tx.ascii_fold(F.lit("Зук")))
+    pages = spark.createDataFrame([(1, "Zürich", "a"), (2, "Zurich", None), (3, "Bern", "c")], "page_id long, title string, text string")
+    titles = spark.createDataFrame([("Zurich",), ("Zürich",)], "title string")
+    assert sorted(tuple(r) for r in articles.article_text(pages, titles, fold=True).collect()) == [(1, "Zürich", "a"), (2, "Zurich", "")]
+    assert articles.article_text(pages, titles).count() == 2
+
+
+def test_guards_pages_and_sinks(spark, tmp_path):
+    from factloom.operators import gallery
+
+    assert [one(spark, tx.reject_reason(F.lit(s))) for s in ("Q", "x" * 1000, "," * 31, "fine")] == ["command", "too long", "too many commas", None]
+    assert not one(spark, tx.admissible(F.lit("，" * 31), decompose=True)) and one(spark, tx.admissible(F.lit("，" * 31)))
+    assert one(spark, tx.escape_quotes(F.lit('a "b"'))) == 'a \\"b\\"' and one(spark, sampling.ceil_half(F.array(F.lit(1), F.lit(2), F.lit(3)))) == [1, 2]
+    pages = spark.createDataFrame([(20_000, "de"), (5, "de"), (7, "en"), (6, "de")], "page_id long, lang string")
+    assert {(r["lang"], r["ordinal"]): r["page_id"] for r in dumps.numbered(pages).collect()} == {("de", 0): 5, ("de", 1): 6, ("de", 2): 20_000, ("en", 0): 7}
+    assert [r["page_id"] for r in dumps.page_at(pages, 1).collect()] == [6]
+    for line in ("a", "b"):
+        stores.append_text(spark.createDataFrame([(line,)], "s string"), "s", str(tmp_path / "lines"))
+    assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "lines")).collect()) == ["a", "b"]
+    lib = spark.createDataFrame([(f"h{i}", "p&q", [("ROOT_P", "<w>", "root")], [("X", ["c"])]) for i in range(3)], "hash string, predicate string, edges array<struct<tail:string,head:string,label:string>>, entities array<struct<wording:string,classes:array<string>>>")
+    html = {r["page"]: r["html"] for r in gallery.pattern_gallery(lib, 2).collect()}
+    assert html[0] == '<h1>Patterns: p&amp;q</h1><p><a href="1.html">next</a> </p><ul>' + "<li><code>ROOT_P -root-&gt; &lt;w&gt;</code> X</li>" * 2 + "</ul>" and '"0.html">previous' in html[1]
+    bag_ = bag(spark, "abbb")
+    assert counts(multiset.discard(bag_, spark.createDataFrame([("b",), ("z",)], "elem string"))) == {"a": 1} and [r["text"] for r in multiset.as_text(bag_).collect()] == ["b: 3", "a: 1"]
+
+
+def test_store_rewrites_touched_buckets(spark, tmp_path):
+    store, files = str(tmp_path / "s"), lambda: {p.parent.name + p.name for p in (tmp_path / "s").glob("data-*/_bucket=*")}
+    rows = lambda a, b, v: spark.range(a, b).select(F.col("id").cast("string").alias("k"), F.lit(v).alias("v"))
+    stores.upsert(spark, store, rows(0, 500, 1), ["k"])
+    before = files()
+    stores.upsert(spark, store, rows(3, 4, 2), ["k"])
+    assert len(files() - before) == 1
+    for v in range(3, 8):
+        stores.upsert(spark, store, rows(0, 500, v), ["k"])
+    got = stores.current(spark, store)
+    assert got.count() == 500 and {r["v"] for r in got.select("v").distinct().collect()} == {7} and len(list((tmp_path / "s").glob("data-*"))) <= stores.KEPT
+    with pytest.raises(Exception, match="exist"):
+        stores._write_pointer(spark, store, max(stores._pointers(spark, store)), {})
+
+
+def test_trees_from_files(spark, tmp_path):
+    conll = "# sent_id = s1\n1\tAnn\t_\tN\t_\t_\t2\tnsubj\t_\t_\n2\tsaw\t_\tV\t_\t_\t0\troot\t_\t_\n2-3\tx\t_\t_\t_\t_\t_\t_\t_\t_\n3\tOslo\t_\tN\t_\t_\t2\tdobj\t_\t_\n\n1\tNo\t_\t_\t_\t_\t1\tdep\t_\t_\n"
+    (tmp_path / "a.conllu").write_text(conll)
+    got = depgraph.read_conll(spark, str(tmp_path / "a.conllu")).withColumn("article", F.lit("Ann")).collect()
+    assert [(r["sentence_id"], r["text"], [tuple(e) for e in r["edges"]]) for r in got] == [("s1", "Ann saw Oslo", [(2, 1, "nsubj"), (0, 2, "root"), (2, 3, "dobj")])]
+    assert [tuple(t) for t in got[0]["tokens"]] == [(1, "Ann", 0, 3), (2, "saw", 4, 7), (3, "Oslo", 8, 12)]
+    rows = spark.createDataFrame(got)
+    depgraph.annotation_json(rows).write.text(str(tmp_path / "json"))
+    again = depgraph.read_annotations(spark, str(tmp_path / "json")).collect()
+    assert sorted(tuple(e) for e in again[0]["edges"]) == sorted(tuple(e) for e in got[0]["edges"]) and again[0]["text"] == "Ann saw Oslo"
+
+
+def test_naive_harvest_work_lists_and_rest(spark, tmp_path):
+    from factloom.operators import corpus
+    from factloom.operators import triples as facts_
+    from factloom.plans import articles
+
+    pages = spark.createDataFrame([(1, "A", "The '''old cat''' sat here.\n\nThe old cat sat there. No."), (2, "B", None)], "page_id long, title string, text string")
+    facts = spark.createDataFrame([("A", "p", "old cat"), ("A", "q", "dog"), ("B", "p", "x")], "subject string, p string, wording string")
+    cover, top = articles.naive_harvest(facts, pages, pages.select("title"))
+    assert {r["subject"]: (r["total"], r["present"]) for r in cover.collect()} == {"A": (2, 1)}
+    assert ("p", "following", "sat here", 1) in {(r["p"], r["side"], r["string"], r["n"]) for r in top.collect()}
+    titles = spark.createDataFrame([(i, str(i)) for i in range(5)], "position long, title string")
+    assert [r["title"] for r in articles.work_slice(titles, 1, 2).collect()] == ["1", "2"] and articles.work_slice(titles, 3).count() == 2
+    assert one(spark, corpus.nearest_power_of_ten(F.lit(700.0))) == 1000.0
+    assert one(spark, tx.revision_url(F.lit("en"), F.lit(7))).endswith("revids=7")
+    stores.write_statistics(cover, str(tmp_path / "csv"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).columns[0] == "Title"
+    spark.createDataFrame([("a", "http://dbpedia.org/property/x"), ("b", "p")], "hash string, predicate string").write.parquet(str(tmp_path / "patterns"))
+    assert [r["hash"] for r in dumps.read_patterns(spark, str(tmp_path / "patterns")).collect()] == ["b"]
+    one_ = spark.createDataFrame([("s", "p", "uri", "o", None, None, None)], "subject string, p string, o_type string, o_value string, o_datatype string, o_lang string, label string")
+    assert facts_.union_distinct(one_, one_).count() == 1
