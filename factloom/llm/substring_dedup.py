@@ -225,7 +225,8 @@ def propose(width: int, buckets: int):
             late = ids > ids[np.flatnonzero(new)][np.cumsum(new) - 1]
             if late.any():
                 rows.append((int(bucket_of(np.array([chunk], np.int64).view(U64), buckets)[0]), chunk, 1, b"", b"", row[late].astype(np.uint32).tobytes(), place[late].astype(np.uint32).tobytes()))
-            a, b, row, place = a[~late], b[~late].astype(np.uint32), row[~late].astype(np.uint32), place[~late].astype(np.uint32)
+            kept = np.flatnonzero(~late)[np.lexsort((place[~late], row[~late]))]  # in the order of the texts, places compress better
+            a, b, row, place = a[kept], b[kept].astype(np.uint32), row[kept].astype(np.uint32), place[kept].astype(np.uint32)
             rows += [(k, chunk, 0, *x) for k, x in packed(bucket_of(a, buckets), a, b, row, place)]
         columns = list(zip(*rows, strict=True)) if rows else [()] * 7
         kinds = (pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4)
@@ -256,7 +257,8 @@ def settle(compact: bool):
         first = np.flatnonzero(new)
         mine = first[np.cumsum(new) - 1]
         late = (part == 0) & ((part[mine] > 0) | (chunk > chunk[mine]))
-        out = [(c, 0, b"", b"", *x) for c, x in packed(chunk[late], row[late], place[late])]
+        order = np.lexsort((place[late], row[late]))
+        out = [(c, 0, b"", b"", *x) for c, x in packed(chunk[late][order], row[late][order], place[late][order])]
         out += [(at[i], 0, b"", b"", rows[i], places[i]) for i, p in enumerate(parts) if p == 1]
         kept = first if compact else first[part[first] != 3]
         out.append((bucket, 3, hash_a[kept].tobytes(), hash_b[kept].tobytes(), b"", b""))
