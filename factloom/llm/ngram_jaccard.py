@@ -40,6 +40,8 @@ SHORT_LIST = 32
 LIST_BLOCKS = 1_024
 #: Sets and shingles in one block of sets that are compared with each other.
 BLOCK_SETS, BLOCK_SHINGLES = 1_000, 4_000_000
+#: Sets that more than this part of all documents hold are hot; there are at most as many.
+HOT = 2_000
 #: Most rows of document ids that are broadcast; beyond that the join is a shuffle.
 BROADCAST_ROWS = 400_000
 
@@ -370,7 +372,7 @@ def ngram_jaccard_classes(spark: SparkSession, docs: DataFrame, k: int = 5, perc
         spread.filter("doc_id = lead AND blocks > 1").select("doc_id", "key", every.alias("p"), none, "lead", "blocks").filter(F.col("p") != F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
     )
     kind = "key long, a long, b long"
-    links = scratch.save(fetched_sets(docs, scratch.save(needed, "needed"), k).groupBy("key", "p", "q").applyInArrow(compare(percent, True), kind), "links")
+    links = scratch.save(fetched_sets(docs, scratch.save(needed, "needed"), k).groupBy("key", "p", "q").applyInArrow(compare(percent, True), kind), "answers")
     rest = links.filter("b IS NULL").select("key", F.col("a").alias("doc_id")).distinct()
     links = links.filter("b IS NOT NULL").select("a", "b")
     if not rest.isEmpty():
@@ -381,9 +383,18 @@ def ngram_jaccard_classes(spark: SparkSession, docs: DataFrame, k: int = 5, perc
         other = spread.join(groups, "key").select("doc_id", "key", parts.alias("p"), F.col("own").alias("q"), "lead", "blocks")
         outside = rest.join(size, "key").select("doc_id", "key", F.col("part").alias("p"), every.alias("q"), "lead", "blocks")
         more = fetched_sets(docs, scratch.save(other.union(outside), "needed2"), k).groupBy("key", "p", "q").applyInArrow(compare(percent, False), kind)
-        links = links.union(scratch.save(more, "links2").select("a", "b"))
+        links = links.union(scratch.save(more, "answers2").select("a", "b"))
     label = components(spark, scratch, links)
-    ones = known.groupBy("fp").agg(F.min("doc_id").alias("one"))
-    ones = ones.join(label, F.col("one") == F.col("node"), "left").select("fp", F.coalesce("component", "one").alias("class"))
-    out = sets.select("doc_id", "n_shingles", "fp").join(ones, "fp", "left")
+    ones = known.groupBy("fp").agg(F.min("doc_id").alias("one"), F.count("*").alias("copies"))
+    ones = scratch.save(ones.join(label, F.col("one") == F.col("node"), "left").select("fp", F.coalesce("component", "one").alias("class"), "copies"), "classes")
+    scratch.drop("candidates", "pairs", "members", "spread", "needed", "needed2")
+    # sets that a HOT-th of all documents hold, so HOT of them at most, are broadcast; their documents are dealt out by
+    # themselves in the join of the others, so no set has more than that many rows in one task
+    rows = known.count()
+    hot = ones.filter(F.col("copies") * HOT >= F.lit(max(rows, HOT))).select(F.col("fp").alias("hot_fp"), F.col("class").alias("hot_class"))
+    out = sets.select("doc_id", "n_shingles", "fp").join(F.broadcast(hot), F.col("fp") == F.col("hot_fp"), "left")
+    alone = F.unhex(F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.lit("alone"))))
+    out = out.withColumn("fp", F.when(F.col("hot_class").isNull(), F.col("fp")).otherwise(alone))
+    rest = ones.filter(F.col("copies") * HOT < F.lit(max(rows, HOT))).select("fp", F.col("class").alias("own_class"))
+    out = out.join(rest, "fp", "left").withColumn("class", F.coalesce("hot_class", "own_class"))
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("class"))).otherwise(F.col("doc_id")).alias("component_id"))
