@@ -34,6 +34,8 @@ FAMILIES = {
 }
 #: Training documents in all at most (on average), and for each language: defaults of ``language_model``.
 SAMPLE, EACH = 3_000, 600
+#: Different languages whose counts are broadcast at most; beyond that they are joined by a shuffle of ids.
+COUNTS = 100_000
 #: Bytes of text whose sequences are held at once, at some 30 bytes each. Longer texts are cut at spaces and their sums added up.
 HELD = 2_000_000
 #: Hashed features.
@@ -191,7 +193,10 @@ def language_model(docs: DataFrame, sample: int = SAMPLE, each: int = EACH) -> L
         return None
     part = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(3)), 24)  # 40 bits
     share = F.least(F.lit(1.0), F.lit(min(each, sample / languages)) / F.col("n"))
-    known = known.join(counts, "lang").filter(part < share * float(2**40)).select("doc_id", "lang", "text")
+    # ids are chosen without their texts, by a small table of counts; the chosen ones, about ``sample``, meet the texts where these are
+    few = F.broadcast(counts) if languages <= COUNTS else counts
+    chosen = known.select("doc_id", "lang").join(few, "lang").filter(part < share * float(2**40)).select("doc_id", "lang").distinct()
+    known = known.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
 
     def emit(batches):
         for batch, texts in texts_in_parts(batches, 2_000_000):
