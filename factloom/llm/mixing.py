@@ -6,8 +6,8 @@ between 0 and ``most``, the ones nearest to equal rates in relative entropy have
 solution of the convex dual; Newton steps find them, kept inside brackets. Documents of one source and
 size share a rate, so the steps run over an aggregated table with a row for each (source, size), until no
 source is off. Rates become copies by rounding the running sum of expected copies from the longest documents to
-the shortest, which leaves a source within half of its longest document of its target; then short documents
-are taken once more or less, from the shortest on, until what is missing is less than the next size.
+the shortest, which leaves a source within half of its longest document of its target; then, in three passes, documents
+are taken more or less often, from the shortest on, until what is missing is less than the next size.
 Running sums are taken inside ranges of sizes and then over the ranges, so no task holds all sizes of a source.
 
 DataFrame functions only; the state of the iteration is a table with a row for each source.
@@ -15,6 +15,8 @@ DataFrame functions only; the state of the iteration is a table with a row for e
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -108,15 +110,23 @@ def copies(scratch: Scratch, cells: DataFrame, solution: DataFrame, most: int) -
     rated = running(rated, {"earlier": F.col("expected")}, largest_first=True)
     n = F.round(F.col("earlier") + F.col("expected")).cast("long") - F.round("earlier").cast("long")
     rated = rated.withColumn("copies", F.greatest(F.lit(0), F.least(F.col("docs") * most, n)))
-    rated = scratch.save(rated.select("source", "size", "docs", "target", "copies"), "rounded")
+    rated = scratch.save(rated.select("source", "size", "docs", "target", "copies"), "rounded0")
+    # a pass that rounds up goes beyond the target by less than the size it ends at; the next one comes back from there by shorter documents
+    for k, whole in enumerate((F.ceil, F.ceil, F.round)):
+        rated = scratch.save(corrected(rated, most, whole), f"rounded{k + 1}")
+    return rated.select("source", "size", "copies")
+
+
+def corrected(rated: DataFrame, most: int, whole: Callable[[Column], Column]) -> DataFrame:
+    """rated(source, size, docs, target, copies) with more or fewer copies, from the shortest documents on, by as many words as a source lacks or has too many."""
     taken = rated.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("missing"))
     rated = rated.join(taken, rated.source.eqNullSafe(taken.source)).drop(taken.source)
     # words that a cell's documents can still take, or give back
     room = F.when(F.col("missing") > 0, F.col("docs") * most - F.col("copies")).otherwise(F.col("copies"))
     rated = running(rated.withColumn("room", room), {"before": F.col("room") * F.col("size")}, largest_first=False)
     left = F.greatest(F.lit(0.0), F.abs("missing") - F.col("before"))
-    change = F.least(F.col("room"), F.round(left / F.col("size")).cast("long"))
-    return rated.select("source", "size", F.when(F.col("missing") > 0, F.col("copies") + change).otherwise(F.col("copies") - change).alias("copies"))
+    change = F.least(F.col("room"), whole(left / F.col("size")).cast("long"))
+    return rated.select("source", "size", "docs", "target", F.when(F.col("missing") > 0, F.col("copies") + change).otherwise(F.col("copies") - change).alias("copies"))
 
 
 def sized_documents(docs: DataFrame) -> DataFrame:

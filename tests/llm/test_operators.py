@@ -552,3 +552,25 @@ def test_mixing_solves_the_dual(spark):
             at = (part["size"] >= a) & (part["size"] < b)
             assert abs(part["copies"][at].sum() - want[at].sum()) <= 3
         assert abs(part["taken"].sum() - part["target"].iloc[0]) <= 1
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline as p
+
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert p.run(spark, str(tmp_path)).count() == 0
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark, tmp_path):
+    from types import SimpleNamespace
+
+    fake = SimpleNamespace(conf=SimpleNamespace(get=lambda name, default: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        Scratch(fake, "t")
+    scratch = Scratch(spark, "dropped")
+    scratch.save(spark.range(3), "a")
+    scratch.drop("a")
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(f"{scratch.path}/a")
