@@ -119,6 +119,28 @@ edges AS (SELECT DISTINCT c.sentence_id, c.article, c.predicate, c.subject_wordi
 harvested AS (SELECT sentence_id, article, predicate, subject_wording, object_wording, o, count(*) AS n_edges,
   sha256(predicate || chr(10) || string_agg(tail || '|' || label || '|' || head, chr(10) ORDER BY tail || '|' || label || '|' || head)) AS hash FROM edges GROUP BY sentence_id, article, predicate, subject_wording, object_wording, o),
 full_ AS (SELECT h.*, array_to_string(list_filter(string_split(s, ' '), lambda x: x <> ''), ' ') AS sentence FROM harvested h JOIN lines l ON l.sentence_id = h.sentence_id)"""
+STEPS = """e AS (SELECT DISTINCT h.hash, tail, head, label FROM edges e JOIN harvested h ON h.sentence_id = e.sentence_id AND h.predicate = e.predicate AND h.subject_wording = e.subject_wording AND h.object_wording = e.object_wording AND h.o = e.o),
+usable AS (SELECT hash FROM e GROUP BY hash HAVING bool_or(head NOT IN ('SUBJECT_P', 'OBJECT_P', 'ROOT_P') OR tail NOT IN ('SUBJECT_P', 'OBJECT_P', 'ROOT_P'))),
+labels AS (SELECT hash, tail, head, min(label) AS label FROM e JOIN usable USING (hash) GROUP BY ALL),
+walks AS (SELECT hash, 'ROOT_P' AS node, ['ROOT_P'] AS path FROM usable UNION ALL
+  SELECT walks.hash, head, list_append(path, head) FROM walks JOIN labels ON labels.hash = walks.hash AND tail = node WHERE NOT list_contains(path, head)),
+ends AS (SELECT hash, node, path FROM (SELECT *, row_number() OVER (PARTITION BY hash, node ORDER BY len(path), path) AS r FROM walks WHERE node IN ('SUBJECT_P', 'OBJECT_P')) WHERE r = 1),
+both_ AS (SELECT hash FROM ends GROUP BY hash HAVING count(*) = 2),
+steps AS (SELECT hash, CASE node WHEN 'SUBJECT_P' THEN 'subject' ELSE 'object' END AS side, i, path[i] AS tail, path[i + 1] AS head FROM (SELECT *, unnest(range(1, len(path))) AS i FROM ends JOIN both_ USING (hash)))"""
+# Sentences' paths from the root, by labels, and the patterns' steps that they fit; no object of these harvests is a number, and no phrase has a known class.
+MATCHED = """ways AS (SELECT hash, side, string_agg(label, '|' ORDER BY i) AS labels, list(CASE WHEN head = 'SUBJECT_P' THEN 'S' WHEN head = 'OBJECT_P' THEN 'O' WHEN starts_with(head, 'ENTITY_P_') THEN 'E' WHEN starts_with(head, 'NUMERIC_P_') THEN 'N' ELSE 'W' || head END ORDER BY i) AS keys
+  FROM steps JOIN labels USING (hash, tail, head) GROUP BY hash, side),
+kinds_ AS (SELECT sentence_id, i, lab, w, CASE WHEN regexp_matches(w, '^\\p{Nd}') THEN 'N' WHEN __TITLE__ AND regexp_matches(w, '\\p{L}') THEN 'E' ELSE '' END AS kind FROM tok),
+trails AS (SELECT t.sentence_id, t.i, string_agg(a.lab, '|' ORDER BY a.i) AS labels, list(a.w ORDER BY a.i) AS ws, list(a.kind ORDER BY a.i) AS ks
+  FROM (SELECT sentence_id, i, unnest(range(0, 13)) AS k FROM tok) t JOIN kinds_ a ON a.sentence_id = t.sentence_id AND a.i = t.i >> t.k AND t.i >> t.k > 0 GROUP BY ALL),
+named_ AS (SELECT *, CASE WHEN p > 0 THEN substr(keys[p], 2) ELSE '' END AS word FROM (SELECT *, coalesce(list_position(list_transform(keys, lambda k: k[1]), 'W'), 0) AS p FROM (SELECT DISTINCT keys, labels FROM ways))),
+placed AS (SELECT *, CASE WHEN p > 0 THEN ws[p] ELSE '' END AS word FROM (SELECT *, unnest(range(0, len(ws) + 1)) AS p FROM trails)),
+fits AS (SELECT keys, labels, sentence_id, i FROM named_ JOIN placed USING (labels, p, word)
+  WHERE len(list_filter(range(1, len(keys) + 1), lambda j: NOT CASE keys[j][1] WHEN 'S' THEN true WHEN 'O' THEN ks[j] <> 'N' WHEN 'E' THEN ks[j] = 'E' WHEN 'N' THEN ks[j] = 'N' ELSE keys[j] = 'W' || ws[j] END)) = 0),
+two AS (SELECT a.hash AS pattern, a.keys AS sk, a.labels AS sl, b.keys AS ok, b.labels AS ol FROM ways a JOIN ways b ON a.hash = b.hash AND a.side = 'subject' AND b.side = 'object'),
+ends_ AS (SELECT DISTINCT two.pattern, s.sentence_id, s.i AS s, o.i AS o FROM two JOIN fits s ON s.keys = sk AND s.labels = sl JOIN fits o ON o.keys = ok AND o.labels = ol AND o.sentence_id = s.sentence_id AND o.i <> s.i),
+matched AS (SELECT DISTINCT pattern, predicate, p.wording AS subject_wording, q.wording AS object_wording, e.sentence_id
+  FROM ends_ e JOIN (SELECT DISTINCT hash, predicate FROM harvested) h ON h.hash = pattern JOIN phr p ON p.sentence_id = e.sentence_id AND p.i = e.s JOIN phr q ON q.sentence_id = e.sentence_id AND q.i = e.o)""".replace("__TITLE__", TITLE)
 _PAGES = "(SELECT doc_id AS page_id, lang, source AS title, text, octet_length(encode(text)) AS bytes FROM documents)"
 _DRAW = lambda key, seed: f"md5('{seed}:' || {key})"
 _U = lambda key, seed: f"CAST(('0x' || substr({_DRAW(key, seed)}, 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE"
@@ -195,6 +217,10 @@ ORACLES: dict[str, str] = {
       SELECT string_agg(CAST(doc_id AS VARCHAR), '-' ORDER BY k) AS docid, length(string_agg(piece, '' ORDER BY k)) AS length, string_agg(lang, '|' ORDER BY k) AS classes FROM parts GROUP BY doc HAVING count(*) = 2""",
     "pattern_dot": f"""WITH {HARVEST}, e AS (SELECT DISTINCT h.hash, e.predicate, tail, head, label FROM edges e JOIN harvested h ON h.sentence_id = e.sentence_id AND h.predicate = e.predicate AND h.subject_wording = e.subject_wording AND h.object_wording = e.object_wording AND h.o = e.o)
       SELECT hash, md5('digraph "' || predicate || '" {{' || chr(10) || string_agg('"' || tail || '" -> "' || head || '" [label="' || label || '"];', chr(10) ORDER BY tail, head, label) || chr(10) || '}}') AS dot, NOT bool_or(contains(tail || head, '"')) AS whole FROM e GROUP BY hash, predicate""",
+    "pattern_steps": f"WITH RECURSIVE {HARVEST}, {STEPS} SELECT side, label, count(*) AS n, count(DISTINCT hash) AS patterns FROM steps JOIN labels USING (hash, tail, head) GROUP BY ALL",
+    "match_all": f"WITH RECURSIVE {HARVEST}, {STEPS}, {MATCHED} SELECT predicate, count(*) AS n, count(DISTINCT sentence_id) AS sentences FROM matched GROUP BY predicate",
+    "match_trivial": f"WITH RECURSIVE {HARVEST}, {STEPS}, {MATCHED} SELECT predicate, count(*) AS n FROM matched SEMI JOIN harvested ON hash = pattern AND harvested.subject_wording = matched.subject_wording AND harvested.object_wording = matched.object_wording GROUP BY predicate",
+    "match_novel": f"WITH RECURSIVE {HARVEST}, {STEPS}, {MATCHED} SELECT sha256('(' || subject_wording || ',' || predicate || ',' || object_wording || ')') AS hash, pattern, predicate, subject_wording, object_wording, sentence_id FROM matched ANTI JOIN harvested ON harvested.hash = pattern AND harvested.subject_wording = matched.subject_wording AND harvested.object_wording = matched.object_wording",
     "match_gallery": f"""WITH {HARVEST}, d AS (SELECT DISTINCT subject_wording, predicate, object_wording, sentence FROM full_), r AS (SELECT *, row_number() OVER (PARTITION BY subject_wording, predicate, object_wording ORDER BY sentence) AS r FROM d),
       s AS (SELECT subject_wording, predicate, object_wording, string_agg('<q>' || {_CELL("sentence")} || '</q>', ' ' ORDER BY sentence) FILTER (r <= 5) AS said, greatest(count(*) - 5, 0) AS more FROM r GROUP BY ALL),
       i AS (SELECT predicate, row_number() OVER (PARTITION BY predicate ORDER BY subject_wording, object_wording) - 1 AS k, '<li>' || {_CELL("subject_wording")} || ' – ' || {_CELL("object_wording")} || ': ' || replace(said, '"', '&quot;') || CASE WHEN more > 0 THEN ' and ' || more || ' more' ELSE '' END || '</li>' AS html FROM s),
