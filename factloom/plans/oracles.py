@@ -184,7 +184,9 @@ _HTML = _replaced(
     _ENTITIES(_ENTITIES("html")), ("(?s)<!--.*?-->", "''"), (CLOSED_ELEMENT.format("|".join(SELF_CLOSING)), "''"), (EITHER_TAG.format("|".join(UNWRAPPED)), "''"), *[(WHOLE_ELEMENT.format(t), "''") for t in DISCARDED],
     *[(p, {"": "''", "\n": "chr(10)"}.get(n, f"'{n}'")) for p, n in TIDY_RULES],
 )
-_SENTENCES = _replaced("text", (r'([.!?])"(\S)', "'\\1\" \\2'"), (r"\b(Mr|Mrs|Ms|Dr|Prof|St|Jr|Sr|vs|etc|e\.g|i\.e|[A-Z])\.(\s)", "'\\1' || chr(1) || '\\2'"), (r'([.!?]"?)\s+', "'\\1' || chr(2)"))
+# twice, as a match takes the character before it and the space after it; letters of any script make a word longer
+_ABBREVIATION = (r"(^|[^\p{L}\p{N}_])(Mr|Mrs|Ms|Dr|Prof|St|Jr|Sr|vs|etc|e\.g|i\.e|[A-Z])\.(\s)", "'\\1\\2' || chr(1) || '\\3'")
+_SENTENCES = _replaced("text", (r'([.!?])"(\S)', "'\\1\" \\2'"), _ABBREVIATION, _ABBREVIATION, (r'([.!?]"?)\s+', "'\\1' || chr(2)"))
 _CELL = lambda x: f"replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 
 ORACLES: dict[str, str] = {
