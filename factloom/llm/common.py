@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -11,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +22,25 @@ U64 = np.uint64
 ODD = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) % 2**64 | 1 for i in range(1, 65)], dtype=U64)
 
 
+#: Allocations of glibc from this size on are mapped by themselves, and as much free memory at the end of its heap goes back.
+MAPPED = 1 << 20
+
+
+def return_memory() -> None:
+    """From now on, memory that this process frees goes back to the system. Spark keeps Python workers between tasks and stages, and what
+    allocators hold for later in each of them counts as the executor's: up to some 200 MB a worker, whatever stage runs. Another C library
+    than glibc is left as it is."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    mallopt = getattr(ctypes.CDLL(None), "mallopt", None) if sys.platform == "linux" else None
+    if mallopt:
+        mallopt(-1, MAPPED)  # M_TRIM_THRESHOLD
+        mallopt(-3, MAPPED)  # M_MMAP_THRESHOLD; set, it does not grow with what is freed
+
+
+if TaskContext.get() is not None:  # in a Python worker, which imports this module for its first task
+    return_memory()
+
+
 class Scratch:
     """Tables of one operator run below the shared folder that ``spark.checkpoint.dir`` names.
 
@@ -143,7 +165,7 @@ def joined(column: pa.ChunkedArray | pa.Array, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(x for x in column.to_pylist() if x), dtype=dtype)
 
 
-def in_parts(batches: Iterable[pa.RecordBatch], limit: int = 32_000_000, column: str = "text") -> Iterator[pa.RecordBatch]:
+def in_parts(batches: Iterable[pa.RecordBatch], limit: int = 8_000_000, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Slices of the batches with at most about ``limit`` bytes of text each (one text may be longer)."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from factloom.llm import embedding_dedup, fingerprints, language_id, mixing, ngram_jaccard, packing, quality, substring_dedup, tokens, url_filters
-from factloom.llm.common import Scratch, components
+from factloom.llm.common import Scratch, components, in_parts
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n long, fp string, bucket int, key string, at string, size long"
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -574,3 +574,28 @@ def test_scratch_needs_a_shared_folder_on_a_cluster(spark, tmp_path):
     scratch.drop("a")
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(f"{scratch.path}/a")
+
+
+def test_workers_take_little_memory_and_give_it_back(spark):
+    """Of a Python worker that encodes a batch of 33 MB: the MB that it takes at most besides the batch, and those it still holds afterwards."""
+    path = tokens.vocabulary_path()
+
+    def encode(batches):
+        def now(what):
+            with open("/proc/self/status") as f:
+                return int(re.search(rf"{what}:\s+(\d+)", f.read())[1]) / 1024
+
+        ids, batch, found = tokens.part_ids(path), next(batches), 0
+        with open("/proc/self/clear_refs", "w") as f:
+            f.write("5")  # the peak starts anew
+        before = now("VmRSS")
+        for part in in_parts([batch]):
+            found += int(ids.lengths(part.column("text")).sum())
+        del part
+        yield pa.RecordBatch.from_pydict({"ids": [found], "most": [now("VmHWM") - before], "left": [now("VmRSS") - before]})
+
+    text = "Some words of a text, and more. " * 1000
+    docs = spark.range(0, 1040, 1, 1).select(F.lit(text).alias("text"))
+    row = docs.mapInArrow(encode, "ids long, most double, left double").first()
+    assert row["ids"] == 1040 * len(tokens.part_ids(path).encode(text, add_special_tokens=False).ids)
+    assert row["most"] < 200 and row["left"] < 80
