@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from .fixed import KILOMETRES, MONTHS, NAMESPACES, SQUARE_KILOMETRES
 
 XSD, UNITS = NAMESPACES["xsd"], NAMESPACES["dbpdatatype"]
+#: Regular expressions of words in title case and of words that begin with a digit.
+TITLE_CASE, NUMBER = r"^[^\p{L}]*\p{Lu}\p{Ll}*([^\p{L}]+\p{Lu}\p{Ll}*)*[^\p{L}]*$", r"^\p{Nd}"
 
 
 class Locale(Protocol):
@@ -75,7 +77,7 @@ class English:
 
     def part_of_proper_noun(self, word: Column) -> Column:
         """Title case: each run of letters is a capital followed by small letters."""
-        return word.rlike(r"^[^\p{L}]*\p{Lu}\p{Ll}*([^\p{L}]+\p{Lu}\p{Ll}*)*[^\p{L}]*$")
+        return word.rlike(TITLE_CASE)
 
     def adjust_text(self, text: Column, strict: bool = False) -> Column:
         """``21 August 1999`` to ``August 21, 1999``, ``3 January`` to ``January 3``; then tags go. With a year and without
@@ -100,7 +102,7 @@ class English:
 
 def is_numeric(wording: Column) -> Column:
     """Whether the first character is a decimal digit."""
-    return wording.rlike(r"^\p{Nd}")
+    return wording.rlike(NUMBER)
 
 
 def common_wording(kind: Column, value: Column, datatype: Column, label: Column, locale: Locale | None = None) -> Column:

@@ -9,14 +9,17 @@ from __future__ import annotations
 
 from collections import deque
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.functions.fixed import ENTITY_PREFIX, NUMERIC_PREFIX, OBJECT_TAG, PHRASE_RELATIONS, ROOT_TAG, SUBJECT_TAG
-from factloom.functions.wording import English, is_numeric
+from factloom.functions.wording import NUMBER, TITLE_CASE
+from factloom.operators import flat
 
 EDGE = "array<struct<tail:int,head:int,label:string>>"
 TOKEN = "array<struct<idx:int,word:string,start:int,end:int>>"
@@ -90,16 +93,34 @@ def valid_annotations(rows: DataFrame) -> DataFrame:
 def pseudo_parse(sentences: DataFrame) -> DataFrame:
     """A stand-in for a parser: token i hangs off token i // 2, so the tree is shallow; labels are num, nn (title case) or dep.
 
-    It lets the operators run where no parser is at hand; real annotations enter as a table."""
-    words = F.filter(F.split("sentence", " "), lambda w: w != "")
-    rows = sentences.select("sentence_id", F.array_join(words, " ").alias("text"), words.alias("w"))
-    # one fold makes the tokens; a lambda that looked into another computed array could evaluate it for each element
-    none = F.expr(f"cast(array() as {TOKEN})")
-    token = lambda acc, w: F.struct((F.size(acc["out"]) + 1).alias("idx"), w.alias("word"), acc["at"].alias("start"), (acc["at"] + F.length(w)).alias("end"))
-    tokens = F.aggregate("w", F.struct(F.lit(0).alias("at"), none.alias("out")), lambda acc, w: F.struct((acc["at"] + F.length(w) + 1).alias("at"), F.concat(acc["out"], F.array(token(acc, w))).alias("out")), lambda acc: acc["out"])
-    label = lambda w: F.when(is_numeric(w), "num").when(English().part_of_proper_noun(w) & w.rlike(r"\p{L}"), "nn").otherwise("dep")
-    edges = F.transform("w", lambda w, i: F.struct(F.shiftright(i + 1, 1).cast("int").alias("tail"), (i + 1).cast("int").alias("head"), label(w).alias("label")))
-    return valid_annotations(rows.select("sentence_id", "text", tokens.alias("tokens"), edges.alias("edges")))
+    It lets the operators run where no parser is at hand; real annotations enter as a table. Other columns than the sentence stay."""
+    keep = [f for f in sentences.schema if f.name not in ("sentence_id", "sentence")]
+
+    def emit(batches):
+        for batch in flat.parts(batches):
+            lists = pc.split_pattern(pc.fill_null(flat.plain(batch.column("sentence")), ""), " ")
+            words, counts = lists.flatten(), flat.lengths(lists)
+            some = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
+            if not some.all():
+                counts = np.diff(np.r_[0, np.cumsum(some)][flat.starts_of(counts)])
+                words = words.filter(pa.array(some))
+            full = counts > 0
+            counts, rows = counts[full], pa.array(np.flatnonzero(full))
+            coded = words.dictionary_encode()  # work on words is done once for each distinct one
+            says, code = coded.dictionary, coded.indices.to_numpy()
+            number, title = pc.match_substring_regex(says, NUMBER), pc.and_(pc.match_substring_regex(says, TITLE_CASE), pc.match_substring_regex(says, r"\p{L}"))
+            label = pc.if_else(number, "num", pc.if_else(title, "nn", "dep")).take(coded.indices)
+            size = pc.utf8_length(says).to_numpy(zero_copy_only=False).astype(np.int64)[code]
+            at = flat.starts_of(size + 1)
+            start = at[:-1] - np.repeat(at[flat.starts_of(counts)[:-1]], counts)
+            idx = flat.places(counts) + 1
+            tokens = flat.struct_of(idx=flat.int32(idx), word=words, start=flat.int32(start), end=flat.int32(start + size))
+            edges = flat.struct_of(tail=flat.int32(idx >> 1), head=flat.int32(idx), label=label)
+            made = {"text": pc.binary_join(flat.list_of(counts, words), " "), "tokens": flat.list_of(counts, tokens), "edges": flat.list_of(counts, edges)}
+            yield pa.RecordBatch.from_pydict({"sentence_id": batch.column("sentence_id").take(rows)} | made | {f.name: batch.column(f.name).take(rows) for f in keep})
+
+    schema = T.StructType([sentences.schema["sentence_id"], *T._parse_datatype_string(f"text string, tokens {TOKEN}, edges {EDGE}").fields, *keep])
+    return sentences.select("sentence_id", "sentence", *[f.name for f in keep]).mapInArrow(emit, schema)
 
 
 def dep_edges(annotations: DataFrame) -> DataFrame:
@@ -126,10 +147,43 @@ def paths_from(edges: list, root) -> dict:
     return paths
 
 
-@F.pandas_udf(T.ArrayType(T.StructType().add("node", T.IntegerType()).add("path", T.ArrayType(T.IntegerType()))))
-def root_paths(edges: pd.Series) -> pd.Series:
-    """Shortest paths from the root of each sentence; nodes without one are left out."""
-    return edges.map(lambda es: None if es is None else [{"node": n, "path": p} for n, p in sorted(paths_from(list(es), 0).items())])
+def edge_walks(edges: pa.Array) -> flat.Walks:
+    es, counts = edges.flatten(), flat.lengths(edges)
+    return flat.walks(np.repeat(np.arange(len(edges)), counts), flat.numbers(flat.member(es, "tail"), -1), flat.numbers(flat.member(es, "head"), -1), len(edges))
+
+
+def by_parts(one, edges: pa.Array) -> pa.Array:
+    return pa.concat_arrays([one(edges.slice(at, flat.PART)) for at in range(0, max(len(edges), 1), flat.PART)])
+
+
+@F.arrow_udf(T.ArrayType(T.StructType().add("node", T.IntegerType()).add("path", T.ArrayType(T.IntegerType()))))
+def root_paths(edges: pa.Array) -> pa.Array:
+    """Shortest paths from the root of each sentence, of equally short ones the smallest; nodes without one are left out."""
+
+    def one(es):
+        w, null = edge_walks(es), es.is_null().to_numpy(zero_copy_only=False)
+        w.depth[null[w.row]] = -1
+        at, counts, nodes = w.paths()
+        found = flat.struct_of(node=flat.int32(w.node[at]), path=flat.list_of(counts, flat.int32(nodes)))
+        return flat.list_of(np.bincount(w.row[at], minlength=len(es)), found, null)
+
+    return by_parts(one, edges)
+
+
+@F.arrow_udf(T.StructType().add("nodes", T.IntegerType()).add("reached", T.IntegerType()))
+def reach(edges: pa.Array) -> pa.Array:
+    """How many nodes a graph's edges name, one that is missing included, and how many the root reaches."""
+
+    def one(es):
+        w, null = edge_walks(es), es.is_null().to_numpy(zero_copy_only=False)
+        ends, row = es.flatten(), np.repeat(np.arange(len(es)), flat.lengths(es))
+        tail, head = flat.numbers(flat.member(ends, "tail"), -1), flat.numbers(flat.member(ends, "head"), -1)
+        width = int(max(tail.max(initial=0), head.max(initial=0))) + 2
+        nodes = np.bincount(np.unique(np.r_[row * width + tail + 1, row * width + head + 1]) // width, minlength=len(es))
+        reached = np.bincount(w.row[w.depth >= 0], minlength=len(es))
+        return flat.struct_of(nodes=pa.array(nodes, pa.int32(), mask=null), reached=pa.array(reached, pa.int32(), mask=null))
+
+    return by_parts(one, edges)
 
 
 @F.pandas_udf(T.ArrayType(T.StructType().add("side", T.StringType()).add("step", T.IntegerType()).add("label", T.StringType()).add("name", T.StringType())))
@@ -155,13 +209,12 @@ def pattern_paths(edges: pd.Series) -> pd.Series:
 
 
 #: As nondeterministic functions they are evaluated once for a row and never copied into a filter or a join condition.
-root_paths, pattern_paths = root_paths.asNondeterministic(), pattern_paths.asNondeterministic()
+root_paths, reach, pattern_paths = root_paths.asNondeterministic(), reach.asNondeterministic(), pattern_paths.asNondeterministic()
 
 
 def reached_from_root(annotations: DataFrame) -> DataFrame:
     """Rows (sentence_id, nodes, reached): a graph with fewer reached nodes than nodes is not connected from its root."""
-    nodes = F.array_distinct(F.flatten(F.transform("edges", lambda e: F.array(e["tail"], e["head"]))))
-    return annotations.select("sentence_id", F.size(nodes).alias("nodes"), F.size(root_paths("edges")).alias("reached"))
+    return annotations.select("sentence_id", reach("edges").alias("r")).select("sentence_id", "r.nodes", "r.reached")
 
 
 def word_at(tokens: Column, idx: Column) -> Column:

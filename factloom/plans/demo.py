@@ -93,8 +93,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sentences = lines(spark, sf_dir)
-    return pseudo_parse(sentences).join(sentences.select("sentence_id", "article"), "sentence_id")
+    return pseudo_parse(lines(spark, sf_dir).select("sentence_id", "sentence", "article"))
 
 
 def wordings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

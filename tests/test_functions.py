@@ -8,7 +8,7 @@ from factloom.functions import wikitext as wt
 from factloom.functions.fixed import NAMESPACES
 from factloom.functions.wording import English, common_wording, source_revision, source_wiki
 from factloom.operators import depgraph, multiset, naive, sampling
-from factloom.plans import harvest, match
+from factloom.plans import demo, harvest, match
 from factloom.sources import dumps, stores
 
 EN, XSD, UNIT = English(), NAMESPACES["xsd"], NAMESPACES["dbpdatatype"]
@@ -142,6 +142,32 @@ def test_graphs_harvest_and_match(spark):
     assert (score["precision"], score["recall"]) == (1.0, 1.0)
 
 
+def test_paths_of_many_graphs(spark):
+    import random
+
+    rng, graphs = random.Random(5), []
+    for _ in range(5000):
+        n = rng.randint(1, 9)
+        graphs.append([(rng.randint(0, n), rng.randint(0, n), "x") for _ in range(rng.randint(0, 2 * n))])
+    lost = [(0, 2, "x"), (2, None, "x"), (None, 4, "x"), (2, 5, "x")]  # ends that a parser did not name
+    rows = [(i, g) for i, g in enumerate([*graphs, lost, None])]
+    table = spark.createDataFrame(rows, f"sentence_id long, edges {depgraph.EDGE}")
+    got = {r["sentence_id"]: r["p"] for r in table.select("sentence_id", depgraph.root_paths("edges").alias("p")).collect()}
+    want = [sorted(depgraph.paths_from([{"tail": t, "head": h} for t, h, _ in g], 0).items()) for g in graphs] + [[(0, [0]), (2, [0, 2]), (5, [0, 2, 5])]]
+    assert [[(p["node"], p["path"]) for p in got[i]] for i in range(len(want))] == want and got[len(want)] is None
+    reached = {r["sentence_id"]: (r["nodes"], r["reached"]) for r in depgraph.reached_from_root(table).collect()}
+    assert [reached[i] for i, g in enumerate(graphs)] == [(len({x for e in g for x in e[:2]}), len(want[i])) for i, g in enumerate(graphs)]
+    assert reached[len(graphs)] == (5, 3) and reached[len(want)] == (None, None)
+
+
+def test_sentences_are_parsed_where_they_are(spark):
+    """The stand-in for a parser keeps the article, so that sentences need not be read and dealt out again for it."""
+    sentences = spark.createDataFrame([("s1", " Über 3  Årsta ", "A"), ("s2", " ", "B"), ("s3", None, "C")], "sentence_id string, sentence string, article string")
+    row = depgraph.pseudo_parse(sentences).collect()
+    assert [(r["article"], r["text"], [tuple(t) for t in r["tokens"]], [tuple(e) for e in r["edges"]]) for r in row] == [("A", "Über 3 Årsta", [(1, "Über", 0, 4), (2, "3", 5, 6), (3, "Årsta", 7, 12)], [(0, 1, "nn"), (1, 2, "num"), (1, 3, "nn")])]
+    assert "Exchange" not in demo.annotations(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_entities_need_classes(spark):
     edges = [("ROOT_P", "ENTITY_P_00000", "root"), ("ENTITY_P_00000", "SUBJECT_P", "a"), ("ENTITY_P_00000", "OBJECT_P", "b")]
     make = lambda classes: spark.createDataFrame([("h", "p", edges, [("X", classes)], False)], "hash string, predicate string, edges array<struct<tail:string,head:string,label:string>>, entities array<struct<wording:string,classes:array<string>>>, object_is_numeric boolean")
