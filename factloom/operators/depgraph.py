@@ -36,22 +36,52 @@ def repair_name(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(name, "^%", "%%"), "'+$", ""), r" +-", "-")
 
 
+#: What the parser's JSON is read as; a sentence needs one of the two lists of dependencies.
+KINDS = ("originaldependencies", "dependencies")
+
+
+def whole_number(text: pa.Array) -> pa.Array:
+    """Strings that are integers of 32 bits; null for others."""
+    digits = pc.if_else(pc.match_substring_regex(text, r"^\s*[+-]?[0-9]{1,18}\s*$"), pc.replace_substring(pc.utf8_trim_whitespace(text), "+", ""), None)
+    value = pc.cast(digits, pa.int64())
+    return pc.cast(pc.if_else(pc.less_equal(pc.abs(value), 2**31 - 1), value, None), pa.int32())
+
+
+def node_number(name: pa.Array) -> pa.Array:
+    """``index_of`` of a node's name after ``repair_name``: the number after its last hyphen, which apostrophes may follow."""
+    return whole_number(pc.struct_field(pc.extract_regex(name, r"-(?P<n>[0-9]+)'*$"), 0))
+
+
 def parse_annotations(rows: DataFrame, column: str = "annotation", complete: bool = True) -> DataFrame:
     """Annotations from a parser's JSON. Whole sentences use the original dependencies, short wordings the collapsed ones.
     Of several labels between two nodes the last one counts. Rows without a root are left out."""
-    j = F.from_json(F.col(column), PARSE)
-    kind = "originaldependencies" if complete else "dependencies"
-    rows = rows.select(j.alias("j")).filter("j IS NOT NULL").select("j.*")
-    node = lambda c: index_of(repair_name(c))
-    # in the order of nodes, the last label of each pair of them first; an array of one element binds the sorted ones, so that they are made once
-    entries = F.array_sort(F.transform(F.col(kind), lambda d, i: F.struct(node(d["tail"]).alias("tail"), node(d["head"]).alias("head"), (-i).alias("back"), d["rel"].alias("label"))))
-    other = lambda x, y: ~x["tail"].eqNullSafe(y["tail"]) | ~x["head"].eqNullSafe(y["head"])
-    kept = F.transform(F.array(entries), lambda es: F.filter(es, lambda x, i: (i == 0) | other(x, F.get(es, i - 1))))[0]
-    ordered = F.array_sort(F.transform(kept, lambda x: F.struct((-x["back"]).alias("at"), x["tail"].alias("tail"), x["head"].alias("head"), x["label"].alias("label"))))
-    edges = F.transform(ordered, lambda x: F.struct(x["tail"].alias("tail"), x["head"].alias("head"), x["label"].alias("label")))
-    tokens = F.transform("words", lambda w, i: F.struct((i + 1).cast("int").alias("idx"), w["word"].alias("word"), w["CharacterOffsetBegin"].try_cast("int").alias("start"), w["CharacterOffsetEnd"].try_cast("int").alias("end")))
-    out = rows.select("sentence_id", "text", tokens.alias("tokens"), edges.alias("edges"))
-    return valid_annotations(out)
+    kind, other = KINDS if complete else KINDS[::-1]
+    schema = T._parse_datatype_string(PARSE)
+    schema = T.StructType([f for f in schema if f.name != other])
+
+    def emit(batches):
+        for batch in flat.parts(batches):
+            j = batch.column("j").drop_null()
+            deps, lists, ids, text = (flat.member(j, c) for c in (kind, "words", "sentence_id", "text"))
+            ds, counts = deps.flatten(), flat.lengths(deps)
+            row = np.repeat(np.arange(len(counts)), counts)
+            tail, head, label = node_number(flat.plain(flat.member(ds, "tail"))), node_number(flat.plain(flat.member(ds, "head"))), flat.plain(flat.member(ds, "rel"))
+            ends = np.stack([row, flat.numbers(tail, -1), flat.numbers(head, -1)])
+            # of the entries between two nodes the last one, in the order of entries
+            order = np.lexsort((-np.arange(len(row)), ends[2], ends[1], ends[0]))
+            kept = np.sort(order[np.r_[True, (ends[:, order[1:]] != ends[:, order[:-1]]).any(0)]]) if len(order) else order
+            rooted = np.bincount(row, weights=ends[1] == 0, minlength=len(counts)) > 0
+            kept = kept[rooted[row[kept]]]
+            at, full = pa.array(kept), pa.array(np.flatnonzero(rooted))
+            edges = flat.struct_of(tail=tail.take(at), head=head.take(at), label=label.take(at))
+            lists = lists.take(full)
+            words, sizes = lists.flatten(), flat.lengths(lists)
+            tokens = flat.struct_of(idx=flat.int32(flat.places(sizes) + 1), word=flat.plain(flat.member(words, "word")), start=whole_number(flat.plain(flat.member(words, "CharacterOffsetBegin"))), end=whole_number(flat.plain(flat.member(words, "CharacterOffsetEnd"))))
+            missing = lists.is_null().to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_pydict({"sentence_id": ids.take(full), "text": text.take(full), "tokens": flat.list_of(sizes, tokens, missing), "edges": flat.list_of(np.bincount(row[kept], minlength=len(counts))[rooted], edges)})
+
+    # a step in Arrow takes the JSON once: columns made of it, or a filter over them, would read it again
+    return rows.select(F.from_json(F.col(column), schema).alias("j")).mapInArrow(emit, f"sentence_id string, text string, tokens {TOKEN}, edges {EDGE}")
 
 
 def annotation_json(annotations: DataFrame) -> DataFrame:

@@ -534,7 +534,7 @@ def dep_edges(spark, sf):
 @query
 def annotations_read(spark, sf):
     """Annotated sentences written as a parser's JSON, and read again."""
-    again = depgraph.parse_annotations(match.written(depgraph.annotation_json(match.written(demo.annotations(spark, sf)))))
+    again = depgraph.parse_annotations(depgraph.annotation_json(demo.annotations(spark, sf)))
     return again.select(F.col("sentence_id").cast("long").alias("sentence_id"), F.size("tokens").alias("tokens"), F.size("edges").alias("edges"))
 
 

@@ -1,4 +1,5 @@
 import bz2
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -160,6 +161,18 @@ def test_paths_of_many_graphs(spark):
     assert reached[len(graphs)] == (5, 3) and reached[len(want)] == (None, None)
 
 
+def test_json_is_read_once(spark):
+    """Labels of one pair of nodes, nodes without a number, offsets that are none, and sentences without a root; the JSON is parsed in one place of the plan."""
+    deps = [("root", "ROOT-0", "a-1"), ("x", "a-1", "b -2'"), ("y", "a-1", "c"), ("z", "a-1", "b-2"), ("w", "b-2", "%d-3-4")]
+    parse = {"sentence_id": 7, "text": "a b", "originaldependencies": [dict(zip(("rel", "tail", "head"), d, strict=True)) for d in deps], "words": [{"word": "a", "CharacterOffsetBegin": "0", "CharacterOffsetEnd": 1}, {"word": "b", "CharacterOffsetBegin": "x"}]}
+    rows = spark.createDataFrame([(json.dumps(parse),), (json.dumps(parse | {"originaldependencies": parse["originaldependencies"][1:]}),), (json.dumps(parse | {"words": None}),), ("[", ), (None,)], "annotation string")
+    got = depgraph.parse_annotations(rows)
+    first, bare = sorted(got.collect(), key=lambda r: r["tokens"] is None)
+    assert first["sentence_id"] == "7" and [tuple(e) for e in first["edges"]] == [(0, 1, "root"), (1, None, "y"), (1, 2, "z"), (2, 4, "w")]
+    assert [tuple(t) for t in first["tokens"]] == [(1, "a", 0, 1), (2, "b", None, None)] and bare["edges"] == first["edges"]
+    assert got.select(F.size("edges"), F.size("tokens"))._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+
+
 def test_sentences_are_parsed_where_they_are(spark):
     """The stand-in for a parser keeps the article, so that sentences need not be read and dealt out again for it."""
     sentences = spark.createDataFrame([("s1", " Über 3  Årsta ", "A"), ("s2", " ", "B"), ("s3", None, "C")], "sentence_id string, sentence string, article string")
