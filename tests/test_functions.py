@@ -1,6 +1,7 @@
 import bz2
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,7 +9,7 @@ from factloom.functions import text as tx
 from factloom.functions import wikitext as wt
 from factloom.functions.fixed import NAMESPACES
 from factloom.functions.wording import English, common_wording, source_revision, source_wiki
-from factloom.operators import depgraph, multiset, naive, sampling
+from factloom.operators import depgraph, flat, multiset, naive, sampling
 from factloom.plans import demo, harvest, match
 from factloom.sources import dumps, stores
 
@@ -173,6 +174,26 @@ def test_json_is_read_once(spark):
     assert got.select(F.size("edges"), F.size("tokens"))._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
 
 
+def test_wordings_meet_sentences_where_they_are(spark):
+    """Tokens are not dealt out to meet wordings, a node without a number spoils nothing, and of two phrases the first counts."""
+    words = "Ann saw Oslo and Oslo".split()
+    tokens = [(i + 1, w, sum(len(x) + 1 for x in words[:i]), sum(len(x) + 1 for x in words[:i]) + len(w)) for i, w in enumerate(words)]
+    edges = [(0, 2, "root"), (2, 1, "nsubj"), (2, 3, "dobj"), (3, 4, "cc"), (3, 5, "conj"), (2, None, "x"), (None, 4, None)]
+    rows = [(a, f"s{i}", " ".join(words), tokens, edges) for i, a in enumerate(["A", "A", "B", "C"])]
+    sentences = spark.createDataFrame(rows, f"article string, sentence_id string, text string, tokens {depgraph.TOKEN}, edges {depgraph.EDGE}")
+    subjects = spark.createDataFrame([("A", "Ann", "Ann"), ("A", "Ann", "Ann"), ("B", "Ann", "Ann"), ("C", "Bob", "Bob")], "article string, wording string, root string")
+    objects = spark.createDataFrame([("A", "p", "Oslo", "Oslo"), ("A", None, "and", "and"), ("B", "p", "saw Oslo", "Oslo"), ("C", "p", "Oslo", "Oslo")], "article string, predicate string, wording string, root string")
+    got = harvest.harvest(sentences, subjects, objects)
+    want = {("p", "Oslo", (("ROOT_P", "saw", "root"), ("saw", "OBJECT_P", "dobj"), ("saw", "SUBJECT_P", "nsubj"))), (None, "and", (("ENTITY_P_00000", "OBJECT_P", "cc"), ("ROOT_P", "saw", "root"), ("saw", "ENTITY_P_00000", "dobj"), ("saw", "SUBJECT_P", "nsubj")))}
+    found = got.collect()
+    assert sorted(r["sentence_id"] for r in found) == ["s0", "s0", "s1", "s1"] and {(r["predicate"], r["object_wording"], tuple(tuple(e) for e in r["edges"])) for r in found} == want
+    assert {tuple(r["entities"]) for r in found} == {(), ("Oslo",)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and plan.count("MapInArrow") == 1
+    many = pa.RecordBatch.from_pydict({"x": pa.array(range(3 * flat.PART + 1))})
+    assert [p.num_rows for p in flat.parts([many])] == [flat.PART] * 3 + [1]
+
+
 def test_sentences_are_parsed_where_they_are(spark):
     """The stand-in for a parser keeps the article, so that sentences need not be read and dealt out again for it."""
     sentences = spark.createDataFrame([("s1", " Über 3  Årsta ", "A"), ("s2", " ", "B"), ("s3", None, "C")], "sentence_id string, sentence string, article string")
