@@ -105,8 +105,10 @@ def wordings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def markup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """pages(page_id, lang, title, text): parts as articles in wiki markup."""
-    part = table(spark, sf_dir, "part")
+    """pages(page_id, lang, title, text): parts as articles in wiki markup.
+
+    A part takes a few bytes of its file and an article much work, so parts are dealt out first: by bytes, all would go to a few tasks."""
+    part = table(spark, sf_dir, "part").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     rows = part.join(nation, F.col("p_partkey") % 25 == F.col("n_nationkey"))
     size, name = F.col("p_size").cast("string"), F.col("p_name")

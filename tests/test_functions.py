@@ -194,6 +194,14 @@ def test_wordings_meet_sentences_where_they_are(spark):
     assert [p.num_rows for p in flat.parts([many])] == [flat.PART] * 3 + [1]
 
 
+def test_articles_of_parts_are_dealt_out(spark):
+    """The file of parts is one small block, which one task would turn into articles."""
+    from factloom.plans import queries
+
+    rows = queries.compact_paragraphs(spark, "/root/testdata/sf0.01")
+    assert rows.select(F.spark_partition_id().alias("p")).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_sentences_are_parsed_where_they_are(spark):
     """The stand-in for a parser keeps the article, so that sentences need not be read and dealt out again for it."""
     sentences = spark.createDataFrame([("s1", " Über 3  Årsta ", "A"), ("s2", " ", "B"), ("s3", None, "C")], "sentence_id string, sentence string, article string")
